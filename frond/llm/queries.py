@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frond.llm import bpe
+from frond.llm import bpe, exact_dedup
 from frond.llm.common import table
 
 
@@ -13,5 +13,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLES: dict[str, str] = {}
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.decisions(table(spark, sf_dir, "documents")).drop("hash")
+
+
+OP4_SQL = r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm
+  FROM documents
+), r AS (
+  SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
+         first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place
+  FROM t WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST)
+)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM r
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup}
+ORACLES = {"op4_exact_dedup": OP4_SQL}
