@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frond.llm import bpe, exact_dedup
+from frond.llm import bpe, exact_dedup, mixing
 from frond.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents")).drop("hash")
 
@@ -30,5 +34,5 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM r
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op4_exact_dedup": op4_exact_dedup}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
