@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from frond.llm import bpe, exact_dedup, mixing
+from frond.llm import bpe, exact_dedup, line_dedup, mixing
 from frond.llm.common import table
 
 
@@ -34,5 +35,32 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM r
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op4_exact_dedup": op4_exact_dedup}
-ORACLES = {"op4_exact_dedup": OP4_SQL}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.cleaned(table(spark, sf_dir, "pages"))
+    return clean.select("page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id, row_number() OVER () AS row,
+         lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+         list_filter(list_transform(
+           string_split(regexp_replace(coalesce(html, ''), '<[^>]*>', chr(10), 'g'), chr(10)),
+           lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') AS lines
+  FROM pages
+), h AS (SELECT host, count(*) AS n FROM p WHERE host <> '' GROUP BY host
+), l AS (SELECT host, line, count(*) AS on_pages FROM (SELECT DISTINCT row, host, unnest(lines) AS line FROM p) GROUP BY host, line
+), b AS (SELECT host, list(line) AS lines FROM l JOIN h USING (host) WHERE on_pages >= 3 AND on_pages > 0.3 * n GROUP BY host
+), k AS (
+  SELECT page_id, p.host, p.lines, CASE WHEN b.lines IS NULL THEN p.lines
+         ELSE list_filter(p.lines, lambda x: NOT list_contains(b.lines, x)) END AS stay
+  FROM p LEFT JOIN b ON p.host = b.host
+)
+SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(stay) AS n_dropped,
+       length(coalesce(array_to_string(stay, chr(10)), '')) AS kept_chars,
+       sha256(coalesce(array_to_string(stay, chr(10)), '')) AS kept_sha256
+FROM k
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op4_exact_dedup": op4_exact_dedup, "op10_line_dedup": op10_line_dedup}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL}
