@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frond.llm import bpe, exact_dedup, line_dedup, mixing
+from frond.llm import bpe, chat, exact_dedup, line_dedup, mixing
 from frond.llm.common import table
 
 
@@ -18,6 +18,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one more (-1) whose turns are made of the template's own control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], turns.schema)
+    return chat.read_back(chat.examples(turns.unionByName(own)), sorted_rows=True)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents")).drop("hash")
 
@@ -62,5 +69,5 @@ SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(stay) AS n_dropped
 FROM k
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op4_exact_dedup": op4_exact_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op10_line_dedup": op10_line_dedup}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL}
