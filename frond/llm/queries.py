@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frond.llm import bpe, chat, exact_dedup, line_dedup, minhash, mixing
+from frond.llm import bpe, chat, exact_dedup, line_dedup, minhash, mixing, quality
 from frond.llm.common import table
 
 
@@ -42,6 +42,10 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM r
 """
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
 
@@ -73,5 +77,5 @@ SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(stay) AS n_dropped
 FROM k
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op7_minhash": op7_minhash, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op6_quality": op6_quality, "op7_minhash": op7_minhash, "op10_line_dedup": op10_line_dedup}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL}
