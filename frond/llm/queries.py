@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frond.llm import bpe, chat, exact_dedup, line_dedup, minhash, mixing, quality
+from frond.llm import bpe, chat, exact_dedup, line_dedup, minhash, mixing, quality, toxicity
 from frond.llm.common import table
 
 
@@ -42,6 +42,13 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM r
 """
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxicity.fit(toxicity.sampled(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return toxicity.scored(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "passages")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,5 +84,5 @@ SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(stay) AS n_dropped
 FROM k
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op6_quality": op6_quality, "op7_minhash": op7_minhash, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_minhash": op7_minhash, "op10_line_dedup": op10_line_dedup}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL}
