@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the queries' contracts define it; the same class works in Java, Python and RE2.
@@ -18,16 +18,10 @@ HOT_SHARE = 1 / 2000
 #: A table of ids is broadcast up to this many rows (about 16 MB in memory), and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
 
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-
 
 def ascii_lower(text: str) -> str:
     """Lower-case A-Z only, whatever else the text holds."""
-    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
-
-
-def sql_ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -61,9 +55,5 @@ def left_join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, tota
     return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(names), key, "left_anti").join(rest, key, "left"))
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frond.llm import bpe, chat, exact_dedup, line_dedup, minhash, mixing, pii, quality, toxicity
+from frond.llm import bpe, brown, chat, exact_dedup, line_dedup, minhash, mixing, pii, quality, toxicity
 from frond.llm.common import table
 
 
@@ -62,6 +62,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(docs, pii.train(docs))
 
 
+def op9_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model = brown.fit(docs.filter(~F.coalesce(held_out, F.lit(False))))
+    return brown.scored(docs, model, held_out)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = line_dedup.cleaned(table(spark, sf_dir, "pages"))
     return clean.select("page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
@@ -89,5 +96,5 @@ SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(stay) AS n_dropped
 FROM k
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_minhash": op7_minhash, "op8_pii": op8_pii, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_minhash": op7_minhash, "op8_pii": op8_pii, "op9_brown": op9_brown, "op10_line_dedup": op10_line_dedup}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL}
