@@ -76,7 +76,7 @@ def half_even(x: Column, places: int) -> Column:
 
 def percent_text(text: Column) -> Column:
     """'87%' and '0.87' as a fraction; above 1 a number means percent; null if it isn't a number."""
-    number = F.expr("1") * F.try_to_number(F.regexp_replace(text, r"[%\s]", ""), F.lit("999999.999999")).cast("double")
+    number = F.regexp_replace(text, r"[%\s]", "").try_cast("double")
     return F.when(F.contains(text, F.lit("%")) | (number > 1), number / 100).otherwise(number)
 
 
