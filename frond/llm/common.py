@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same for the state of a loop: written as a table in the shared folder and read again.
+
+    A checkpoint keeps the size that was estimated for its plan. In a loop that joins its state with itself the estimate is
+    squared on every turn, until the driver runs out of memory over its digits; a table's size is the size of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a saved table may be broadcast; it reads no more than rows + 1 rows."""
     return df.limit(rows + 1).count() <= rows

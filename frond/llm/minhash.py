@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frond.llm.bpe import Cache
-from frond.llm.common import WORD_RE, ascii_lower, join_small_or_shuffled, left_join_hot, saved
+from frond.llm.common import WORD_RE, ascii_lower, join_small_or_shuffled, left_join_hot, saved, written
 
 SHINGLE, THRESHOLD = 5, 75
 BANDS, ROWS = 80, 6
@@ -147,24 +147,24 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cid, comp) for every class in a link: comp is the smallest class it is linked with, directly or not; saved.
+    """(cid, comp) for every class in a link: comp is the smallest class it is linked with, directly or not; a written table.
 
     Each turn gives every class the least label around it, then the label of its label, so long chains take few turns.
     """
-    both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = saved(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("a"), F.min("b")).alias("comp")))
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = written(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("a"), F.min("b")).alias("comp")))
     while True:
         around = join_small_or_shuffled(both, labels.withColumnRenamed("cid", "b"), ["b"], "inner").groupBy(F.col("a").alias("cid")).agg(F.min("comp").alias("least"))
-        nearer = saved(labels.join(around, "cid").select("cid", F.least("comp", "least").alias("comp"), F.col("comp").alias("old")))
+        nearer = written(labels.join(around, "cid").select("cid", F.least("comp", "least").alias("comp"), F.col("comp").alias("old")))
         heads = nearer.select(F.col("cid").alias("comp"), F.col("comp").alias("head"))
-        jumped = saved(join_small_or_shuffled(nearer, heads, ["comp"], "left").select("cid", F.coalesce("head", "comp").alias("comp"), "old"))
+        jumped = written(join_small_or_shuffled(nearer, heads, ["comp"], "left").select("cid", F.coalesce("head", "comp").alias("comp"), "old"))
         labels = jumped.select("cid", "comp")
         if jumped.filter(F.col("comp") != F.col("old")).isEmpty():
             return labels
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The candidate pairs (a, b) of classes that are links; saved."""
+    """The candidate pairs (a, b) of classes that are links; a written table."""
     sketches = classes.select("cid", "sketch")
     for side in ("a", "b"):
         pairs = pairs.join(sketches.select(F.col("cid").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
@@ -175,7 +175,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     sets = saved(texts.select("cid", "set_id", "text").mapInArrow(_sets, "cid long, s binary").dropDuplicates(["cid"]))
     for side in ("a", "b"):
         alike = alike.join(sets.select(F.col("cid").alias(side), F.col("s").alias(f"set_{side}")), side)
-    return saved(alike.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long"))
+    return written(alike.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long"))
 
 
 def _id(name: str):
@@ -197,9 +197,9 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     while True:
         comps = components(links)
         placed = join_small_or_shuffled(buckets, comps, ["cid"], "left").withColumn("comp", F.coalesce("comp", "cid"))
-        placed = saved(placed.select("key", "cid", "n", "comp", "block", "blocks").filter(F.col("blocks") > turn))
+        placed = written(placed.select("key", "cid", "n", "comp", "block", "blocks").filter(F.col("blocks") > turn))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        live = saved(placed.join(mixed, "key"))
+        live = written(placed.join(mixed, "key"))
         if live.isEmpty():
             return comps if not links.isEmpty() else None
         left = live.filter(F.col("block") == turn).select("key", F.col("cid").alias("x"), F.col("comp").alias("comp_x"), F.col("n").alias("n_x"))
@@ -207,7 +207,7 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
         across = left.join(right, "key").filter(
             (F.col("comp_x") != F.col("comp_y")) & ((F.col("block") > turn) | ((F.col("block") == turn) & (F.col("x") < F.col("y")))) & fits(F.col("n_x"), F.col("n_y"))
         )
-        fresh = saved(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        fresh = written(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(fresh)
         links = links.unionByName(confirmed(fresh, classes, docs))
         buckets, turn = live.select("key", "cid", "n", "block", "blocks"), turn + 1
