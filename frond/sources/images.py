@@ -67,8 +67,12 @@ def is_test(path: Column, any_case: bool) -> Column:
     return F.startswith(F.lower(stem) if any_case else stem, F.lit("test_"))
 
 
-@F.pandas_udf(IMAGE)
-def decode_pnm(content: pd.Series) -> pd.DataFrame:
+def decode_pnm(content: Column) -> Column:
+    """The image in the bytes of a binary PGM or PPM file."""
+    return F.pandas_udf(_decode_pnm, IMAGE)(content)
+
+
+def _decode_pnm(content: pd.Series) -> pd.DataFrame:
     """Binary PGM and PPM bytes as images (blue, green, red); null where the bytes are something else."""
     rows = []
     for raw in content:
