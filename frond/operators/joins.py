@@ -100,3 +100,22 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
     )
     w = Window.partitionBy(key).orderBy(time, "_left").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("_left = 1").select("_row.*", value)
+
+
+def contained(items: DataFrame, key: str, docs: DataFrame, text: str, words: int) -> DataFrame:
+    """Keys of items whose text stands somewhere in a document.
+
+    The text's second to (words + 1)th blank-separated words stand whole in any text that contains it, so items and
+    documents meet in their hash; items too short for that are looked for in one pass with all of them at hand.
+    """
+    cut = F.split(F.col(text), " ")
+    told = items.select(key, F.col(text).alias("_item"), cut.alias("_w"))
+    long = told.filter(F.size("_w") >= words + 2).select(key, "_item", F.xxhash64(F.array_join(F.slice("_w", 2, words), " ")).alias("_h"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_w"), i, words), " ")))
+    near = docs.select(F.col(text).alias("_doc"), cut.alias("_w")).filter(F.size("_w") >= words).select("_doc", F.explode(F.array_distinct(runs)).alias("_h"))
+    found = near.join(bounded_broadcast(long), "_h").filter(F.contains("_doc", F.col("_item"))).select(key).distinct()
+    short = told.filter(F.size("_w") < words + 2).select(key, "_item")
+    if short.isEmpty():
+        return found
+    rest = bounded_broadcast(short).join(docs.select(F.col(text).alias("_doc")), F.contains(F.col("_doc"), F.col("_item")), "left_semi").select(key)
+    return found.unionByName(rest)

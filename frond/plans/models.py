@@ -1 +1,59 @@
-"""Queries."""
+"""Queries that fit models; ten classes of 64 values each."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from frond.operators import metrics, ml
+from frond.plans.registry import query
+from frond.sources.tables import load
+
+COLUMNS = [f"v{i}" for i in range(12)]
+
+
+def _features(spark, sf_dir):
+    e = load(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(COLUMNS)])
+
+
+@query(
+    "mutual_information",
+    """WITH t AS (SELECT label, 'v' || (i - 1) AS feature, v FROM (SELECT label, unnest(embedding[1:4])::DOUBLE AS v, unnest([1, 2, 3, 4]) AS i FROM embeddings)),
+b AS (SELECT label, feature, least(floor((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 10), 9) AS bin FROM t WINDOW w AS (PARTITION BY feature)),
+n AS (SELECT feature, bin, label, count(*)::DOUBLE AS n FROM b GROUP BY 1, 2, 3),
+p AS (SELECT feature, n / sum(n) OVER (PARTITION BY feature) AS p, sum(n) OVER (PARTITION BY feature, bin) / sum(n) OVER (PARTITION BY feature) AS px, sum(n) OVER (PARTITION BY feature, label) / sum(n) OVER (PARTITION BY feature) AS py FROM n)
+SELECT feature, round(sum(p * ln(p / (px * py))), 6) AS mi FROM p GROUP BY 1""",
+)
+def mutual_information(spark, sf_dir):
+    mi = ml.mutual_information(_features(spark, sf_dir), COLUMNS[:4], "label")
+    return mi.select("feature", F.round("mi", 6).alias("mi"))
+
+
+@query("species_vote", None)
+def species_vote(spark, sf_dir):
+    """A soft vote of forest and linear model, trained on four fifths and scored on the rest."""
+    df = _features(spark, sf_dir)
+    made, labels = ml.assembled(df, COLUMNS, "label")
+    train, test = made.filter("vec_id % 5 > 0"), made.filter("vec_id % 5 = 0")
+    out = ml.probabilities(ml.forest(20, 5).fit(train), test, "p_forest")
+    out = ml.probabilities(ml.linear().fit(train), out, "p_linear")
+    out = ml.voted(out, ["p_forest", "p_linear"], [1.0, 1.0], labels)
+    final = ml.overridden(out, ("0", "1"), labels, F.when(F.col("v0") > 0, "0").otherwise("1"))
+    return final.select("vec_id", "label", "label_vote", "label_final", "overridden", F.array_max("vote").alias("confidence"))
+
+
+@query("grouped_cv", None)
+def grouped_cv(spark, sf_dir):
+    """Macro F1 of out-of-fold predictions; rows with the same vec_id modulo 50 are one group."""
+    df = _features(spark, sf_dir).withColumn("leaf", F.col("vec_id") % 50)
+    oof = ml.out_of_fold(df, COLUMNS, "label", "leaf", lambda: ml.forest(10, 4))
+    return metrics.scores(oof.select("label", "predicted"), "label", "predicted")
+
+
+@query("kernel_margins", None)
+def kernel_margins(spark, sf_dir):
+    """A linear machine on random Fourier features for two classes."""
+    df, names = ml.fourier(_features(spark, sf_dir).filter("label in ('0', '1')"), COLUMNS, 0.5, 16)
+    made, labels = ml.assembled(df, names, "label")
+    out = ml.margins().fit(made).transform(made)
+    return out.select("vec_id", "label", F.element_at(F.array(*[F.lit(x) for x in labels]), (F.col("prediction") + 1).cast("int")).alias("predicted"))

@@ -357,3 +357,11 @@ def scalar_functions(spark, sf_dir):
 def text_functions(spark, sf_dir):
     n = load(spark, sf_dir, "nation")
     return n.select("n_nationkey", scalars.title_case(F.col("n_name")).alias("title"), scalars.flags(has_a=F.contains("n_name", F.lit("A")), long=F.length("n_name") > 6).alias("flags"))
+
+
+@query("leakage_semi", "SELECT item_id FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
+def leakage_semi(spark, sf_dir):
+    """Benchmark items whose text stands in a document: they meet in a run of six words, then the texts are compared."""
+    from frond.operators.joins import contained
+
+    return contained(load(spark, sf_dir, "benchmark"), "item_id", load(spark, sf_dir, "documents"), "text", 6)
