@@ -30,7 +30,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, require
     broken = F.lit(False)
     for c in text:
         broken = broken | F.coalesce(F.col(f"`{c}`").contains("�"), F.lit(False))
-    return read("windows-1252") if text and not df.filter(broken).limit(1).isEmpty() else df
+    if not text or df.filter(broken).limit(1).isEmpty():
+        return df
+    # Spark reads ISO 8859-1, which has control characters where windows-1252 has 27 letters and signs
+    controls = [chr(b) for b in range(128, 160) if bytes([b]).decode("cp1252", "ignore")]
+    letters = "".join(c.encode("latin-1").decode("cp1252") for c in controls)
+    return read("ISO-8859-1").withColumns({c: F.translate(F.col(f"`{c}`"), "".join(controls), letters) for c in text})
 
 
 def union_of_keys(parts: list[DataFrame], first: tuple[str, ...] = ()) -> DataFrame:

@@ -189,10 +189,10 @@ def test_letterbox_and_patterns():
 
 
 def test_csv_falls_back_to_its_other_encoding(spark, tmp_path):
-    (tmp_path / "a.csv").write_bytes("name,n\nMüller,1\n".encode("cp1252"))
-    (tmp_path / "b.csv").write_bytes("name,n\nMüller,1\n".encode())
+    (tmp_path / "a.csv").write_bytes("name,n\nMüller €,1\n".encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes("name,n\nMüller €,1\n".encode())
     for f in ("a.csv", "b.csv"):
-        assert one(tables.read_csv(spark, str(tmp_path / f), "name string, n int", ("name",))).name == "Müller"
+        assert one(tables.read_csv(spark, str(tmp_path / f), "name string, n int", ("name",))).name == "Müller €"
     with pytest.raises(ValueError, match="missing"):
         tables.read_csv(spark, str(tmp_path / "b.csv"), "name string, n int", ("other",))
 
