@@ -241,3 +241,100 @@ def augmented(df: DataFrame, key: str, array: str, width: int, variants: int = 6
             yield pd.DataFrame(rows, columns=[key, "variant", "flipped", "turned", "gain", "image"])
 
     return seeded.mapInPandas(run, f"{key} long, variant int, flipped boolean, turned int, gain double, image array<double>")
+
+
+def gradients(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size and direction (0 to 180 degrees) of the central differences; edges repeat."""
+    p = np.pad(image.astype(float), 1, mode="edge")
+    gx, gy = p[1:-1, 2:] - p[1:-1, :-2], p[2:, 1:-1] - p[:-2, 1:-1]
+    return np.hypot(gx, gy), np.degrees(np.arctan2(gy, gx)) % 180
+
+
+def gradient_stats(image: np.ndarray) -> tuple:
+    """Nine shares of gradient size by direction, their mean, deviation and entropy, and the Laplacian's variance."""
+    size, angle = gradients(image)
+    total = size.sum()
+    hist = np.bincount(np.minimum((angle / 20).astype(int), 8).ravel(), size.ravel(), 9)
+    share = hist / total if total > 0 else np.zeros(9)
+    p = np.pad(image.astype(float), 1, mode="edge")
+    curve = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * image
+    seen = share[share > 0]
+    return share.tolist(), float(size.mean()), float(size.std()), float(-(seen * np.log2(seen)).sum()), float(curve.var())
+
+
+def gabor_bank(image: np.ndarray, waves: tuple[float, ...] = (3.0, 5.0), turns: int = 4, reach: int = 3, spread: float = 1.5) -> tuple:
+    """Mean and deviation of the response to each wave length and direction, in order."""
+    y, x = np.mgrid[-reach : reach + 1, -reach : reach + 1]
+    p = np.pad(image.astype(float), reach, mode="reflect" if min(image.shape) > reach else "edge")
+    h, w = image.shape
+    out: list[float] = []
+    for wave in waves:
+        for k in range(turns):
+            t = np.pi * k / turns
+            kernel = np.exp(-(x**2 + y**2) / (2 * spread**2)) * np.cos(2 * np.pi * (x * np.cos(t) + y * np.sin(t)) / wave)
+            kernel -= kernel.mean()
+            answer = sum(kernel[i, j] * p[i : i + h, j : j + w] for i in range(2 * reach + 1) for j in range(2 * reach + 1))
+            out += [float(answer.mean()), float(answer.std())]
+    return (out,)
+
+
+def thinned(mask: np.ndarray) -> np.ndarray:
+    """A one-pixel-wide skeleton: border pixels whose removal keeps the neighbourhood in one piece are taken off, from two
+    sides in turn, until none is left."""
+    now = mask.copy()
+    ring = [(0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0), (0, 0)]  # north first, clockwise, in a padded window
+    while True:
+        changed = False
+        for side in (0, 1):
+            p = np.pad(now, 1)
+            n = np.stack([p[dy : dy + now.shape[0], dx : dx + now.shape[1]] for dy, dx in ring])
+            count = n.sum(axis=0)
+            rises = (~n & np.roll(n, -1, axis=0)).sum(axis=0)
+            north, east, south, west = n[0], n[2], n[4], n[6]
+            open_side = ~(north & east & south) & ~(east & south & west) if side == 0 else ~(north & east & west) & ~(north & south & west)
+            corner = east & n[3] & south & (count == 3)  # of a lone square of four pixels one stays
+            gone = now & (count >= 2) & (count <= 6) & (rises == 1) & open_side & ~corner
+            if gone.any():
+                now, changed = now & ~gone, True
+        if not changed:
+            return now
+
+
+def skeleton_stats(image: np.ndarray) -> tuple:
+    """Length, ends, branch points and density of the skeleton of the largest component."""
+    mask = largest(image > 0)
+    line = thinned(mask)
+    p = np.pad(line.astype(int), 1)
+    h, w = line.shape
+    around = sum(p[i : i + h, j : j + w] for i in range(3) for j in range(3)) - line
+    n = int(line.sum())
+    return n, int((line & (around == 1)).sum()), int((line & (around >= 3)).sum()), n / max(1, int(mask.sum()))
+
+
+def equalised(image: np.ndarray, tiles: int = 2, levels: int = 64, limit: float = 2.5) -> np.ndarray:
+    """Local contrast: each tile's clipped cumulative histogram maps its levels, and pixels blend the four nearest tiles."""
+    h, w = image.shape
+    low, high = float(image.min()), float(image.max())
+    level = np.minimum(((image - low) / max(high - low, 1e-12) * levels).astype(int), levels - 1)
+    ys, xs = np.linspace(0, h, tiles + 1).astype(int), np.linspace(0, w, tiles + 1).astype(int)
+    maps = np.zeros((tiles, tiles, levels))
+    for i in range(tiles):
+        for j in range(tiles):
+            part = level[ys[i] : ys[i + 1], xs[j] : xs[j + 1]]
+            hist = np.bincount(part.ravel(), minlength=levels).astype(float)
+            top = max(1.0, limit * max(1, part.size) / levels)
+            spare = np.maximum(hist - top, 0).sum()
+            hist = np.minimum(hist, top) + spare / levels
+            maps[i, j] = hist.cumsum() / hist.sum()
+    fy = np.clip((np.arange(h) + 0.5) * tiles / h - 0.5, 0, tiles - 1)
+    fx = np.clip((np.arange(w) + 0.5) * tiles / w - 0.5, 0, tiles - 1)
+    y0, x0 = np.floor(fy).astype(int), np.floor(fx).astype(int)
+    y1, x1 = np.minimum(y0 + 1, tiles - 1), np.minimum(x0 + 1, tiles - 1)
+    a, b = (fy - y0)[:, None], (fx - x0)[None, :]
+    at = lambda i, j: maps[i[:, None], j[None, :], level]
+    return (1 - a) * ((1 - b) * at(y0, x0) + b * at(y0, x1)) + a * ((1 - b) * at(y1, x0) + b * at(y1, x1))
+
+
+def equalised_stats(image: np.ndarray) -> tuple:
+    out = equalised(image)
+    return float(out.mean()), float(out.std())

@@ -162,3 +162,27 @@ def px_lbp(spark, sf_dir):
 def augmented_variants(spark, sf_dir):
     """Seven rows an image: itself and six variants, drawn from a seed of the image's id and the variant's number."""
     return kernels.augmented(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+
+
+@query("px_gradients", None)
+def px_gradients(spark, sf_dir):
+    """Gradient directions, their entropy, and the Laplacian's variance."""
+    return kernels.apply(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, kernels.gradient_stats, "directions array<double>, mean double, std double, entropy double, laplacian double")
+
+
+@query("px_gabor", None)
+def px_gabor(spark, sf_dir):
+    """Responses to a bank of oriented waves."""
+    return kernels.apply(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, kernels.gabor_bank, "responses array<double>")
+
+
+@query("px_skeleton", None)
+def px_skeleton(spark, sf_dir):
+    """Skeleton of each image's largest component."""
+    return kernels.apply(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, kernels.skeleton_stats, "length long, ends long, branches long, density double")
+
+
+@query("px_equalised", None)
+def px_equalised(spark, sf_dir):
+    """Mean and deviation after local contrast equalisation."""
+    return kernels.apply(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, kernels.equalised_stats, "mean double, std double")

@@ -231,3 +231,25 @@ def test_out_of_fold_never_sees_a_group(spark):
     oof = ml.out_of_fold(df, ["x"], "label", "leaf", lambda: ml.linear(), folds=2)
     assert oof.count() == 60 and oof.filter("label <> predicted").count() == 0
     assert oof.groupBy("leaf").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
+
+
+def test_skeleton_keeps_pieces_and_is_thin():
+    rng = np.random.default_rng(8)
+    bar = np.zeros((9, 20), bool)
+    bar[3:6, 2:18] = True
+    line = kernels.thinned(bar)
+    assert kernels.labelled(line)[1] == 1 and line.sum(axis=0).max() == 1 and line.sum() >= 12
+    for _ in range(20):
+        mask = kernels.dilated(rng.random((12, 12)) < 0.1)
+        assert kernels.labelled(kernels.thinned(mask))[1] == kernels.labelled(mask)[1]
+
+
+def test_gradients_gabor_and_equalisation():
+    ramp = np.tile(np.arange(8.0), (8, 1))
+    share, mean, std, entropy, laplacian = kernels.gradient_stats(ramp)
+    assert share[0] == 1.0 and entropy == 0.0
+    stripes = np.tile([1.0, 1.0, -1.0, -1.0], (12, 3))
+    bank = np.array(kernels.gabor_bank(stripes, waves=(4.0,), turns=2)[0]).reshape(2, 2)
+    assert bank[0, 1] > 3 * bank[1, 1]
+    out = kernels.equalised(np.random.default_rng(1).random((16, 16)))
+    assert 0 <= out.min() and out.max() <= 1 + 1e-9 and kernels.equalised(np.ones((4, 4))).std() == 0
