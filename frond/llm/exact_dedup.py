@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frond.llm.common import SPACE, join_small_or_shuffled, left_join_hot, saved
+from frond.llm.common import SPACE, join_small_or_shuffled, left_join_hot, saved, small
 
 
 def normalised(text: Column) -> Column:
@@ -30,14 +30,18 @@ def hashed(docs: DataFrame, hash128=md5_128) -> DataFrame:
     return saved(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
-def variants(docs: DataFrame, rows: DataFrame, hash128=md5_128) -> DataFrame | None:
+def variants(docs: DataFrame, rows: DataFrame, total: int, hash128=md5_128) -> DataFrame | None:
     """(hash, text_sha256, variant) of texts that share a hash with another text; None where no two texts do.
 
     The comparison groups the texts of repeated hashes by (hash, bytes).
     """
-    repeated = saved(rows.groupBy("hash").agg(F.count("*").alias("size")).filter("size > 1").select("hash"))
+    repeated = saved(rows.groupBy("hash").agg(F.count("*").alias("size")).filter("size > 1"))
     norm = normalised(F.col("text"))
-    texts = join_small_or_shuffled(docs.select(hash128(norm).alias("hash"), norm.alias("norm")), repeated, ["hash"], "left_semi")
+    every = docs.select(hash128(norm).alias("hash"), norm.alias("norm"))
+    if small(repeated):
+        texts = every.join(F.broadcast(repeated.select("hash")), "hash", "left_semi")
+    else:
+        texts = left_join_hot(every, repeated, "hash", "size", total).filter("size is not null").drop("size")
     by_bytes = texts.groupBy("hash", "norm").agg(F.count("*").alias("copies"))
     clashes = saved(
         by_bytes.groupBy("hash").agg(F.count("*").alias("texts"), F.sort_array(F.collect_set(F.sha2("norm", 256))).alias("shas")).filter("texts > 1")
@@ -56,7 +60,8 @@ def decisions(docs: DataFrame, hash128=md5_128) -> DataFrame:
     clash.
     """
     rows = hashed(docs, hash128)
-    clashing = variants(docs, rows, hash128)
+    total = rows.count()
+    clashing = variants(docs, rows, total, hash128)
     if clashing is None:
         rows = rows.withColumn("key", F.concat("hash", F.lit(b"\0")))
     else:
@@ -66,7 +71,7 @@ def decisions(docs: DataFrame, hash128=md5_128) -> DataFrame:
     best = F.min(F.struct((-F.col("n")).alias("less"), F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("best")
     groups = saved(rows.groupBy("key").agg(F.count("*").alias("group_size"), best).filter("group_size > 1"))
     groups = groups.select("key", "group_size", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"))
-    joined = left_join_hot(rows, groups, "key", "group_size", rows.count())
+    joined = left_join_hot(rows, groups, "key", "group_size", total)
     return joined.select(
         "doc_id",
         F.when(F.isnull("group_size"), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

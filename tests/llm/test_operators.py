@@ -163,9 +163,15 @@ def test_exact_dedup_looks_behind_a_hash(spark, documents, rows):
     assert got == brute.exact(rows)
 
 
+def test_exact_dedup_without_broadcasts(spark, documents, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "small", lambda df: False)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.decisions(documents).collect()}
+    assert got == brute.exact(rows)
+
+
 def test_exact_dedup_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "ab"), (2, "c"), (None, "c "), (1, "other")], "doc_id long, text string")
-    got = sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in exact_dedup.decisions(df).collect())
+    got = [(str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in exact_dedup.decisions(df).collect()]
     assert Counter(g[3] for g in got) == {True: 3, False: 3} and ("2", None, 2, False) in got
     assert sorted(str((r.doc_id, r.text)) for r in exact_dedup.deduplicated(df).collect()) == ["(1, 'a b')", "(1, 'other')", "(None, 'c ')"]
 
