@@ -28,9 +28,20 @@ from pyspark.sql import functions as F
 SCAN_LIMIT = 96
 #: Chunks that a worker keeps in each of its two cache generations, and the longest chunk that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+WORD_ENTRIES = 200_000
 
 #: White space of the vocabulary's own patterns (fixed values: the Unicode White_Space property).
 _SPACE = "\t-\r \x85\xa0  -     　"
+#: Ranges of the letters and digits that Unicode 16.0 added, and the capitals among the additions with their small letters
+#: (fixed values). The vocabulary's library knows these and nothing newer; Python's own tables may be older or newer.
+_UNICODE_16 = (
+    "\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d40-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389"
+    "\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U000116d0-\U000116e3\U00011bc0-\U00011be0\U00011bf0-\U00011bf9"
+    "\U00013460-\U000143fa\U00016100-\U0001611d\U00016130-\U00016139\U00016d40-\U00016d6c\U00016d70-\U00016d79\U00018cff\U0001ccf0-\U0001ccf9"
+    "\U0001e5d0-\U0001e5ed\U0001e5f0-\U0001e5fa"
+)
+_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 _CHUNK = re.compile(f"[^{_SPACE}]+")
 _NONE = 1 << 60
 
@@ -42,6 +53,15 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _newer() -> re.Pattern:
+    """Letters and digits of ``regex`` that Unicode 16.0 hasn't."""
+    known = re.compile(f"[{_UNICODE_16}]")
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    found = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn" and not known.match(c)]
+    return re.compile("[" + "".join(found) + "]") if found else re.compile(r"(?!)")
+
+
 class Cache(dict):
     """A dictionary that makes what it lacks and forgets its older half when it is full."""
 
@@ -72,13 +92,15 @@ class Bpe:
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {(a, b): i for i, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
+        # the first look at a word only joins single symbols: their pairs by the joined text, the last with its ending
+        self.pairs = {a + b: i for (a, b), i in self.ranks.items() if len(a) == 1 and len(b.removesuffix(self.suffix)) == 1}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {str(i): t for t, i in (self.ids | self.special).items()}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _SPACE)
         self.words = regex.compile(pattern)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.bytes = _byte_alphabet()
-        self.chunks = Cache(self._chunk)
+        self.chunks, self.of_word = Cache(self._chunk), Cache(self._word, WORD_ENTRIES)
 
     def merged(self, word: str) -> list[str]:
         """The parts of a word of byte stand-ins, after all merges."""
@@ -86,8 +108,11 @@ class Bpe:
         if len(word) > SCAN_LIMIT:
             return self._merged_by_heap(text, len(word))
         ranks = self.ranks
-        starts = [*range(len(word)), len(text)]
-        adjacent = [ranks.get((text[i : i + 1], text[i + 1 : starts[i + 2]]), _NONE) for i in range(len(word) - 1)]
+        n, pair = len(word), self.pairs.get
+        starts = [*range(n), len(text)]
+        adjacent = [pair(text[i : i + 2], _NONE) for i in range(n - 2)]
+        if n > 1:
+            adjacent.append(pair(text[n - 2 :], _NONE))
         while adjacent:
             least = min(adjacent)
             if least == _NONE:
@@ -126,17 +151,25 @@ class Bpe:
                 offer(before[a])
         return [text[a : ends[a]] for a in sorted(ends)]
 
+    def _word(self, word: str) -> str:
+        """The ids of a word of the pattern, as text."""
+        parts = self.merged("".join([self.bytes[b] for b in word.encode()]))
+        return " ".join([str(self.ids[p]) for p in parts])
+
     def _chunk(self, chunk: str) -> str:
         """The ids of what stands between two spaces, as text."""
-        out: list[int] = []
+        out: list[str] = []
         for piece in self.split.split(chunk) if "<|" in chunk else (chunk,):
             if piece in self.special:
-                out.append(self.special[piece])
+                out.append(str(self.special[piece]))
             else:
                 low = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-                for word in self.words.findall(low):
-                    out += [self.ids[part] for part in self.merged("".join([self.bytes[b] for b in word.encode()]))]
-        return " ".join(map(str, out))
+                shape = low
+                if not low.isascii() and max(low) > "ԯ":
+                    low = low.translate(_SMALL)
+                    shape = _newer().sub("☃", low)  # to the library a sign like any other
+                out += [self.of_word[low[m.start() : m.end()]] for m in self.words.finditer(shape)]
+        return " ".join(out)
 
     def encode(self, text: str | None) -> str:
         """The ids of a whole text in decimal, joined by one space; null is empty."""
