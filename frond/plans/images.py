@@ -53,12 +53,12 @@ def px_otsu(spark, sf_dir):
     f"""WITH {_PX}, l AS (SELECT vec_id, y, x, {_LEVEL} AS level FROM px), p AS (SELECT a.vec_id, a.level AS i, b.level AS j FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.y = b.y AND b.x = a.x + 1),
 e AS (SELECT vec_id, i, j FROM p UNION ALL SELECT vec_id, j, i FROM p), g AS (SELECT vec_id, i, j, count(*) / sum(count(*)) OVER (PARTITION BY vec_id) AS p FROM e GROUP BY 1, 2, 3),
 s AS (SELECT vec_id, sum(p * (i - j) * (i - j)) AS contrast, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sqrt(sum(p * p)) AS energy, sum(p * i) AS m, sum(p * i * i) AS q, sum(p * i * j) AS c FROM g GROUP BY 1)
-SELECT vec_id, round(contrast, 6) AS contrast, round(homogeneity, 6) AS homogeneity, round(energy, 6) AS energy, round(CASE WHEN q - m * m > 1e-12 THEN (c - m * m) / (q - m * m) ELSE 1 END, 6) AS correlation FROM s""",
+SELECT vec_id, round(contrast, 6) AS contrast, round(homogeneity, 6) AS homogeneity, round(energy, 6) AS energy, round(CASE WHEN q - m * m > 1e-12 THEN (c - m * m) / (q - m * m) ELSE 1 END, 6) + 0::DOUBLE AS correlation FROM s""",
 )
 def px_glcm(spark, sf_dir):
     g = pixels.cooccurrence(_levels(spark, sf_dir), "vec_id", "level", 0, 1)
     t = pixels.texture(g, "vec_id")
-    return t.select("vec_id", *[F.round(c, 6).alias(c) for c in ("contrast", "homogeneity", "energy", "correlation")])
+    return t.select("vec_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("contrast", "homogeneity", "energy", "correlation")])  # no negative zero
 
 
 @query(
