@@ -5,9 +5,9 @@ minimum and the maximum of the set are kept, so one evaluation gives two signatu
 ``BANDS`` bands of ``ROWS`` and documents that agree in a band meet in a bucket. A pair at the threshold of 0.75 misses
 all 80 bands with a probability of 1.6e-7.
 
-Documents with equal sets form a class, and only classes are compared. First each class is compared with the
-smallest class that it shares a bucket with, and what is linked grows together. In buckets whose members then lie in different components,
-packs of about ``PACK`` members are set against each other inside tasks, as arrays of one byte for each signature value: a
+Documents with equal sets form a class, and only classes are compared. First each class is compared with a few
+of the classes that come first in its buckets, and what is linked grows together. In buckets whose members then lie in
+different components, packs of about ``PACK`` members are set against each other inside tasks, as arrays of one byte for each signature value: a
 pair of different components goes on if ``LIKELY`` bytes agree (at 0.75 fewer do with a probability of 1e-6, at 0.6 as many
 do with one of 1e-2). So no bucket is expanded into rows of pairs, none is capped, and every pair that could join two
 components is looked at. What goes on is confirmed by intersecting the sets themselves.
@@ -33,6 +33,8 @@ PERMUTATIONS = BANDS * ROWS // 2
 #: Bytes of a sketch, those of them that the first comparison uses, and how many must agree there and over all.
 SKETCH, SHORT, ALIKE, LIKELY = 2 * PERMUTATIONS, 128, 64, 314
 PACK = 256
+#: Classes that each class is first compared with.
+HUBS = 6
 SEED = 7
 #: Shingles whose hashes under all permutations are held at once.
 COLUMNS = 2048
@@ -141,7 +143,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of different components that may be links, the smaller first."""
     for batch in batches:
         found: set[tuple[int, int]] = set()
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        for at_row in range(batch.num_rows):  # one pair of packs in Python's memory at a time
+            row = [c[at_row].as_py() for c in batch.columns]
             left = [np.array(x, np.int64) for x in row[:3]]
             right = [np.array(x, np.int64) for x in row[4:7]] if row[4] is not None else left
             s = np.frombuffer(b"".join(row[3]), np.uint8).reshape(-1, SKETCH)
@@ -233,8 +236,9 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     members = classes.select("cid", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("first")).filter("m > 1")
     buckets = saved(members.join(shared, "key"))
-    # one comparison a class: with the smallest class that it meets anywhere
-    first = buckets.filter("cid != first").groupBy(F.col("cid").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
+    # a few comparisons a class, with the smallest classes of its buckets; all others are left to the packs
+    hubs = buckets.filter("cid != first").groupBy(F.col("cid").alias("b")).agg(F.slice(F.sort_array(F.collect_set("first")), 1, HUBS).alias("hubs"))
+    first = hubs.select(F.explode("hubs").alias("a"), "b")
     links = confirmed(alike(first, classes), classes, docs)
     more = confirmed(across_components(buckets, components(links), classes), classes, docs)
     links = links.unionByName(more)
