@@ -2,12 +2,15 @@
 
 Exchange clustering gives each of the ``CORE`` most frequent words a class: words are moved, one after the other, to the
 class that raises the likelihood of the class bigrams most, until none moves. The next words, up to ``CLASSED``, join the
-class that explains the classes before them best. All other words, seen or not, share one more class, and the end of a
-text is a class of its own. A text's probability is the product of the class transitions (smoothed towards the class
-frequencies) and of the words' probabilities within their classes.
-
-Word counts cover the whole training corpus and stay a distributed table. Tasks hold the ``HOT`` most frequent words (a
-fixed bound); what a document has of other words is joined with the table, by keys none of which is frequent.
+class that explains the classes before them best. Every rarer word that was seen twice or more joins the class that
+explains the classes on both its sides best; the rarer words of a class have transitions of their own. Words seen once
+stand for those never seen: both share one more class. The end of a text is a class of its own. A text's probability is
+the product of the class transitions (smoothed towards the class frequencies) and of the words' probabilities within
+their classes.
+
+Word counts cover the whole training corpus, and the classes beyond ``CLASSED`` are found by word in a distributed table.
+Tasks hold the ``HOT`` most frequent words (a fixed bound); what a document has of other words is joined with the table,
+by keys none of which is frequent, each with the class or the word beside it.
 """
 
 from __future__ import annotations
@@ -23,21 +26,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frond.llm.common import WORD_RE, ascii_lower, saved
+from frond.llm.common import saved, written
 
 CORE, CLASSED, HOT, CLASSES = 1024, 20_000, 120_000, 32
 #: Weight of the class frequencies in a transition, in observations.
 BETA = 5.0
 TURNS = 15
+#: The class of words seen once or never, that of a text's end, and the first class of words beyond CLASSED.
+OTHERS, STOP, TAIL = CLASSES, CLASSES + 1, CLASSES + 2
+TOTAL = TAIL + CLASSES
 #: The end of a text as a token; no word holds a line end.
 END = "\n"
 
 
-def tokens(text: str | None) -> list[str]:
-    """The words of a whole text with A-Z in lower case, and the end."""
-    found = WORD_RE.findall(ascii_lower(text or ""))
-    found.append(END)
-    return found
+def words_of(text: pa.Scalar) -> list[bytes]:
+    """The words of a whole text with A-Z in lower case, in UTF-8; bytes are split at ASCII white space alone."""
+    return text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
+
+
+def _strings(words: list[bytes | None]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -47,11 +55,12 @@ def word_counts(training: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+            return pa.RecordBatch.from_arrays([_strings(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(tokens(text.as_py()))
+                seen.update(words_of(text))
+                seen[END.encode()] += 1
                 if len(seen) > 300_000:
                     yield out()
                     seen.clear()
@@ -67,7 +76,7 @@ def _summed(training: DataFrame, cells: int, fill) -> np.ndarray:
         table = np.zeros(cells, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                fill(table, text.as_py())
+                fill(table, text)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["cell", "n"])
 
@@ -143,19 +152,87 @@ def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
     return top.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
 
+def neighbours(training: DataFrame, shared, where: np.ndarray, classed: int) -> DataFrame:
+    """(word, other, cell, n), written: the class transitions (no word; words from place ``classed`` on count as others),
+    for each of these words the classes before it (cell) and after it (TAIL + cell), and how often one of them is followed
+    by another (other)."""
+    limit = len(where) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        table = np.zeros(TAIL * TAIL, np.int64)
+        beside: Counter = Counter()
+        pairs: Counter = Counter()
+
+        def out(word, other, cell, n):
+            return pa.RecordBatch.from_arrays([_strings(word), _strings(other), pa.array(cell, pa.int64()), pa.array(n, pa.int64())], ["word", "other", "cell", "n"])
+
+        def rows():
+            yield out([w for w, _ in beside], [None] * len(beside), [c for _, c in beside], list(beside.values()))
+            yield out([w for w, _ in pairs], [w for _, w in pairs], [None] * len(pairs), list(pairs.values()))
+            beside.clear()
+            pairs.clear()
+
+        for batch in batches:
+            for text in batch.column(0):
+                words = words_of(text)
+                x = np.array([get(w, limit) for w in words], np.int64)
+                classes = np.concatenate([[STOP], where[x], [STOP]])
+                _add(table, classes[:-1] * TAIL + classes[1:])
+                at = np.flatnonzero(x >= classed)
+                rare = [words[i] for i in at.tolist()]
+                beside.update(zip(rare, classes[at].tolist()))
+                beside.update(zip(rare, (TAIL + classes[at + 2]).tolist()))
+                follow = at[classes[at + 2] == OTHERS].tolist()
+                pairs.update(zip([words[i] for i in follow], [words[i + 1] for i in follow]))
+                if len(beside) + len(pairs) > 300_000:
+                    yield from rows()
+        yield from rows()
+        at = np.flatnonzero(table)
+        yield out([None] * len(at), [None] * len(at), at, table[at])
+
+    return written(training.select("text").mapInArrow(run, "word string, other string, cell long, n long"))
+
+
+def joined_to_classes(beside: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """(word, c, class, cells), saved: every word of ``beside`` (word, cell, n), its count and the class whose transitions
+    ``pairs`` explain the classes on both its sides best (TAIL + class); OTHERS for words seen once."""
+    p = pairs + 0.5
+    lift = np.log(p * p.sum() / (p.sum(axis=1, keepdims=True) * p.sum(axis=0)))
+    by_cell = np.concatenate([lift[:, :CLASSES], lift.T[:, :CLASSES]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(2)
+            values = cells.flatten()
+            of = np.repeat(np.arange(batch.num_rows), np.diff(cells.offsets.to_numpy()))
+            score = np.zeros((batch.num_rows, CLASSES))
+            np.add.at(score, of, by_cell[values.field(0).to_numpy()] * values.field(1).to_numpy()[:, None])
+            class_ = np.where(batch.column(1).to_numpy() > 1, TAIL + score.argmax(axis=1), OTHERS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(class_), cells], ["word", "c", "class", "cells"])
+
+    cells = beside.repartition("word").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+    # no more than 2 * TAIL cells a word
+    words = cells.groupBy("word").agg(F.sum(F.when(F.col("cell") < TAIL, F.col("n")).otherwise(0)).alias("c"), F.collect_list(F.struct("cell", "n")).alias("cells"))
+    return saved(words.mapInArrow(run, "word string, c long, class long, cells array<struct<cell: long, n: long>>"))
+
+
 @dataclass
 class Model:
-    """n, v: training tokens and distinct ones; index: the hot words' places; log-probabilities are decimal."""
+    """n, v: training tokens and distinct ones; ends: texts among them; index: the hot words' places; log-probabilities are
+    decimal; mass: the tokens of each class; tail (word, c, class): all words beyond CLASSED."""
 
     n: int
     v: int
-    index: dict[str, int]
+    ends: int
+    index: dict[bytes, int]
     base: np.ndarray
     where: np.ndarray
     emission: np.ndarray
     transition: np.ndarray
+    mass: np.ndarray
     rare_total: float
-    counts: DataFrame
+    tail: DataFrame
 
 
 def fit(training: DataFrame) -> Model:
@@ -163,56 +240,73 @@ def fit(training: DataFrame) -> Model:
     counts = word_counts(training)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = most_frequent(counts.filter(F.col("word") != END), HOT)
-    index = dict(zip(top["word"], range(len(top))))
+    index = dict(zip(map(str.encode, top["word"]), range(len(top))))
     hot_counts = top["c"].to_numpy(float)
     core, classed = min(CORE, len(top)), min(CLASSED, len(top))
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast(index)
+    ends = counts.filter(F.col("word") == END).first()
 
-    def ids(text: str | None, limit: int, end: int) -> np.ndarray:
+    def ids(text: pa.Scalar, limit: int, end: int) -> np.ndarray:
         get = shared.value.get
-        found = np.array([get(w, limit) for w in WORD_RE.findall(ascii_lower(text or ""))] + [end], np.int64)
+        found = np.array([get(w, limit) for w in words_of(text)] + [end], np.int64)
         found[:-1] = np.minimum(found[:-1], limit)
         return found
 
     size = core + 2
 
-    def core_bigrams(table: np.ndarray, text: str | None) -> None:
+    def core_bigrams(table: np.ndarray, text: pa.Scalar) -> None:
         x = ids(text, core, core + 1)
         _add(table, np.concatenate([[core + 1], x[:-1]]) * size + x)
 
-    others, end, total = CLASSES, CLASSES + 1, CLASSES + 2
     core_pairs = _summed(training, size * size, core_bigrams).reshape(size, size)
     core_classes = exchange(core_pairs)
 
-    def contexts(table: np.ndarray, text: str | None) -> None:  # class before x word, for the words still without a class
+    def contexts(table: np.ndarray, text: pa.Scalar) -> None:  # class before x word, for the words still without a class
         x = ids(text, classed, classed)
-        before = np.concatenate([[end], core_classes[np.minimum(x[:-1], core)]])
+        before = np.concatenate([[STOP], core_classes[np.minimum(x[:-1], core)]])
         at = (x >= core) & (x < classed)
         _add(table, before[at] * max(1, classed - core) + x[at] - core)
 
-    where = np.full(len(top) + 1, others, np.int64)
+    where = np.full(len(top) + 1, OTHERS, np.int64)
     where[:core] = core_classes[:core]
     if classed > core:
-        seen = _summed(training, total * (classed - core), contexts).reshape(total, classed - core)
-        member = np.eye(total)[core_classes]
+        seen = _summed(training, TAIL * (classed - core), contexts).reshape(TAIL, classed - core)
+        member = np.eye(TAIL)[core_classes]
         pairs = member.T @ core_pairs @ member + 0.5
         lift = np.log(pairs / pairs.sum(axis=1, keepdims=True)) - np.log(pairs.sum(axis=0) / pairs.sum())
         where[core:classed] = (seen.T @ lift[:, :CLASSES]).argmax(axis=1)
 
-    def transitions(table: np.ndarray, text: str | None) -> None:
-        x = np.append(where[ids(text, len(top), len(top))[:-1]], end)
-        _add(table, np.concatenate([[end], x[:-1]]) * total + x)
+    beside = neighbours(training, shared, where, classed)
+    pairs = np.zeros((TOTAL, TOTAL))
+    for r in beside.filter("word is null").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # TAIL^2 rows at most
+        pairs[divmod(r.cell, TAIL)] = r.n
+    tail = joined_to_classes(beside.filter("word is not null and other is null").select("word", "cell", "n"), pairs[:TAIL, :TAIL])
+    known = tail.filter(F.col("class") != OTHERS).select("word", "class")
+    # transitions from and to words that now have a class
+    moved = tail.filter(F.col("class") != OTHERS).select("class", F.inline("cells")).groupBy("class", "cell").agg(F.sum("n").alias("n"))
+    for r in moved.collect():
+        k = r.cell % TAIL
+        if k != OTHERS:
+            old, new = ((k, OTHERS), (k, r["class"])) if r.cell < TAIL else ((OTHERS, k), (r["class"], k))
+            pairs[old] -= r.n
+            pairs[new] += r.n
+    follow = beside.filter("other is not null").join(known.withColumnRenamed("class", "a"), "word", "left")
+    follow = follow.join(known.select(F.col("word").alias("other"), F.col("class").alias("b")), "other", "left")
+    for r in follow.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        pairs[OTHERS, OTHERS] -= r.n
+        pairs[OTHERS if r.a is None else r.a, OTHERS if r.b is None else r.b] += r.n
+    if len(top) > classed:  # the hot ones among them, as a frequent word is hot by its count alone
+        for r in tail.filter((F.col("c") >= int(hot_counts[-1])) & (F.col("class") != OTHERS)).select("word", "class").collect():
+            where[index[r.word.encode()]] = r["class"]
 
-    pairs = _summed(training, total * total, transitions).reshape(total, total).astype(float)
     of_class = pairs.sum(axis=0)
-    share = (of_class + 1) / (of_class.sum() + total)
+    share = (of_class + 1) / (of_class.sum() + TOTAL)
     transition = np.log10((pairs + BETA * share) / (pairs.sum(axis=1, keepdims=True) + BETA))
-    rare_total = float(of_class[others] + (v - classed - 1 if n else 0) + 1)
-    in_class = np.bincount(where[:-1], hot_counts, total) if len(top) else np.zeros(total)
-    emission = np.where(where[:-1] == others, np.log10((hot_counts + 1) / rare_total), np.log10(hot_counts / np.maximum(in_class[where[:-1]], 1e-9)) if len(top) else 0.0)
+    rare_total = float(of_class[OTHERS] + (tail.filter(F.col("class") == OTHERS).count() if n else 0) + 1)
+    emission = np.where(where[:-1] == OTHERS, np.log10((hot_counts + 1) / rare_total), np.log10(hot_counts / np.maximum(of_class[where[:-1]], 1e-9)))
     base = np.log10((hot_counts + 1) / (n + v + 1))
-    return Model(n, v, index, base, where, emission, transition, rare_total, counts)
+    return Model(n, v, ends.c if ends else 0, index, base, where, emission, transition, of_class, rare_total, tail.select("word", "c", "class"))
 
 
 def scored(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
@@ -222,46 +316,78 @@ def scored(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     training texts every word is unknown. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    others, end = CLASSES, CLASSES + 1
     shared = spark.sparkContext.broadcast((model.index, model.base, model.where, model.emission, model.transition))
-    ends = model.counts.filter(F.col("word") == END).first()
-    end_count = ends.c if ends else 0
+    end_count = model.ends
     end_base = math.log10((end_count + 1) / (model.n + model.v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, base, where, emission, transition = shared.value
         limit, get = len(base), index.get
-        words_type = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
+        # transitions of words that aren't hot are added later
+        where = np.append(where[:-1], TOTAL)
+        transition = np.pad(transition, (0, 1))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], []]
+                rare: tuple[list, list, list, list] = ([], [], [], [])
+                offsets = [0]
                 for text in part.column(1):
-                    words = WORD_RE.findall(ascii_lower(text.as_py() or ""))
+                    words = words_of(text)
                     x = np.array([get(w, limit) for w in words], np.int64)
-                    classes = np.concatenate([[end], where[x] if len(x) else x, [end]])
+                    classes = np.concatenate([[STOP], where[x], [STOP]])
                     hot = x[x < limit]
-                    rare = Counter([w for w, i in zip(words, x.tolist()) if i == limit]) if len(hot) < len(x) else {}
+                    if len(hot) < len(x):
+                        cold = np.flatnonzero(x == limit).tolist()
+                        beside: Counter = Counter()
+                        k = classes.tolist()
+                        for i in cold:
+                            if k[i] != TOTAL:
+                                beside[words[i], None, k[i]] += 1
+                            if k[i + 2] != TOTAL:
+                                beside[words[i], None, TOTAL + k[i + 2]] += 1
+                            else:
+                                beside[words[i], words[i + 1], None] += 1
+                        for (word, other, cell), n in beside.items():
+                            for column, value in zip(rare, (word, other, cell, n)):
+                                column.append(value)
+                    offsets.append(len(rare[0]))
                     row = (
                         len(x) + 1,
                         len(hot) + (end_count > 0),
                         float(base[hot].sum()) + end_base,
                         float(emission[hot].sum() + transition[classes[:-1], classes[1:]].sum()),
-                        [{"word": w, "times": n} for w, n in rare.items()],
                     )
                     for column, value in zip(out, row):
                         column.append(value)
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), words_type)
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, out, types)], ["doc_id", "n_tokens", "hot_known", "hot_base", "hot_score", "rare"])
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                fields = [_strings(rare[0]), _strings(rare[1]), pa.array(rare[2], pa.int64()), pa.array(rare[3], pa.int64())]
+                edges = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["word", "other", "cell", "times"]))
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, out, types), edges], ["doc_id", "n_tokens", "hot_known", "hot_base", "hot_score", "rare"])
 
-    schema = "doc_id long, n_tokens long, hot_known long, hot_base double, hot_score double, rare array<struct<word: string, times: long>>"
+    schema = "doc_id long, n_tokens long, hot_known long, hot_base double, hot_score double, rare array<struct<word: string, other: string, cell: long, times: long>>"
     rows = saved(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    # a word that isn't hot is on few rows, so the join's keys are even
-    found = rows.select("row", F.inline("rare")).join(model.counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = found.groupBy("row").agg(
+    # a word that isn't hot is on few rows, so the joins' keys are even
+    found = rows.select("row", F.inline("rare")).join(model.tail, "word", "left")
+    found = found.withColumns({"c": F.coalesce("c", F.lit(0)), "class": F.coalesce("class", F.lit(OTHERS))})
+    cell = F.col("cell")
+    one = found.filter("other is null").select(
+        "row",
+        "times",
+        F.when(cell < TOTAL, cell * TOTAL + F.col("class")).otherwise(F.col("class") * TOTAL + cell - TOTAL).alias("edge"),
+        F.when(cell < TOTAL, F.col("c")).alias("c"),
+    )
+    # the word before another one that isn't hot gives its class alone, the other its class and count
+    two = found.filter("other is not null").select("row", "times", "other", F.col("class").alias("before"))
+    two = two.join(model.tail.withColumnRenamed("word", "other"), "other", "left")
+    two = two.select("row", "times", (F.col("before") * TOTAL + F.coalesce("class", F.lit(OTHERS))).alias("edge"), F.coalesce("c", F.lit(0)).alias("c"))
+    table = [(i * TOTAL + j, float(model.transition[i, j]), j, float(max(model.mass[j], 1e-9))) for i in range(TOTAL) for j in range(TOTAL)]
+    edges = one.unionByName(two).join(F.broadcast(spark.createDataFrame(table, "edge long, step double, to long, mass double")), "edge")
+    said = F.when(F.col("to") == OTHERS, F.log10((F.col("c") + 1) / F.lit(model.rare_total))).otherwise(F.log10(F.col("c") / F.col("mass")))
+    sums = edges.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(model.n + model.v + 1)))).alias("base"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(model.rare_total))).alias("score"),
+        F.coalesce(F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(model.n + model.v + 1)))), F.lit(0.0)).alias("base"),
+        F.sum(F.col("times") * (F.col("step") + F.coalesce(said, F.lit(0.0)))).alias("score"),
     )
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return rows.join(sums, "row", "left").select(
