@@ -80,7 +80,21 @@ def roughness(spark, sf_dir):
 SELECT p_type, angle, coalesce(lead(angle) OVER (PARTITION BY p_type ORDER BY angle), min(angle) OVER (PARTITION BY p_type) + 360) - angle AS gap FROM a""",
 )
 def angular_gaps(spark, sf_dir):
-    a = load(spark, sf_dir, "part").filter("p_size % 6 = 0").select("p_type", (F.col("p_size") * 7).alias("angle")).distinct()
+    return _gaps(load(spark, sf_dir, "part").filter("p_size % 6 = 0"))
+
+
+@query(
+    "angular_gaps_all",
+    """WITH a AS (SELECT DISTINCT p_type, p_size * 7 AS angle FROM part)
+SELECT p_type, angle, coalesce(lead(angle) OVER (PARTITION BY p_type ORDER BY angle), min(angle) OVER (PARTITION BY p_type) + 360) - angle AS gap FROM a""",
+)
+def angular_gaps_all(spark, sf_dir):
+    """The same with all sizes of a type as neighbours."""
+    return _gaps(load(spark, sf_dir, "part"))
+
+
+def _gaps(part):
+    a = part.select("p_type", (F.col("p_size") * 7).alias("angle")).distinct()
     return windows.circular_gaps(a, ["p_type"], "angle", 360).select("p_type", "angle", F.col("gap").cast("int").alias("gap"))
 
 
@@ -91,7 +105,16 @@ s AS (SELECT event_id, x - lag(x, 2) OVER w AS ax, y - lag(y, 2) OVER w AS ay, l
 SELECT event_id, round(atan2(ax * b - ay * bx, ax * bx + ay * b), 5) AS turn FROM s""",
 )
 def turning_angles(spark, sf_dir):
-    e = load(spark, sf_dir, "events").filter("user_id % 20 = 1")
+    return _turns(load(spark, sf_dir, "events").filter("user_id % 20 = 1"))
+
+
+@query("turning_angles_all", None)
+def turning_angles_all(spark, sf_dir):
+    """The same for every user."""
+    return _turns(load(spark, sf_dir, "events"))
+
+
+def _turns(e):
     e = e.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 1000).alias("x"), F.col("value").alias("y"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("i"))
     return windows.turning_angles(e, ["user_id"], "i", "x", "y", 2).select("event_id", F.round("turn", 5).alias("turn"))
 
