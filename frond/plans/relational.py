@@ -51,6 +51,17 @@ def unmatched_views(spark, sf_dir):
     return joins.unmatched(c.filter("role = 'user'"), c.filter("role = 'assistant'"), "conv_id")
 
 
+@query(
+    "unmatched_views_all",
+    """WITH r AS (SELECT conv_id, max((role = 'user')::INT) AS t, max((role = 'assistant')::INT) AS b FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN t = 0 THEN 'top' ELSE 'bottom' END AS missing_view FROM r WHERE t + b = 1""",
+)
+def unmatched_views_all(spark, sf_dir):
+    """The same over every turn as it is."""
+    c = load(spark, sf_dir, "conversations")
+    return joins.unmatched(c.filter("role = 'user'"), c.filter("role = 'assistant'"), "conv_id")
+
+
 @query(
     "split_semi_anti",
     """SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'test' ELSE 'train' END AS part, lang, count(*) AS n FROM documents GROUP BY 1, 2""",
@@ -104,8 +115,23 @@ SELECT s_suppkey, round(s_acctbal - coalesce(g.m, o.m), 4) AS delta FROM supplie
 )
 def lookup_fallback(spark, sf_dir):
     c = load(spark, sf_dir, "customer")
-    by = c.filter("c_nationkey < 12").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.avg("c_acctbal").alias("m"))
-    out = joins.lookup_with_fallback(load(spark, sf_dir, "supplier"), by, "s_nationkey", c.agg(F.avg("c_acctbal").alias("m")), ["m"])
+    return _deltas(load(spark, sf_dir, "supplier"), c, c.filter("c_nationkey < 12"))
+
+
+@query(
+    "lookup_fallback_all",
+    """WITH g AS (SELECT c_nationkey, avg(c_acctbal) AS m FROM customer GROUP BY 1), o AS (SELECT avg(c_acctbal) AS m FROM customer)
+SELECT s_suppkey, round(s_acctbal - coalesce(g.m, o.m), 4) AS delta FROM supplier CROSS JOIN o LEFT JOIN g ON s_nationkey = c_nationkey""",
+)
+def lookup_fallback_all(spark, sf_dir):
+    """The same with the customers of all nations."""
+    c = load(spark, sf_dir, "customer")
+    return _deltas(load(spark, sf_dir, "supplier"), c, c)
+
+
+def _deltas(supplier, c, known):
+    by = known.groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.avg("c_acctbal").alias("m"))
+    out = joins.lookup_with_fallback(supplier, by, "s_nationkey", c.agg(F.avg("c_acctbal").alias("m")), ["m"])
     return out.select("s_suppkey", F.round(F.col("s_acctbal") - F.col("m"), 4).alias("delta"))
 
 
@@ -116,8 +142,23 @@ SELECT a.s, b.s IS NOT DISTINCT FROM a.s AS same FROM a JOIN b ON a.s IS NOT DIS
 )
 def null_safe_join(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    a = d.select(F.when(F.col("doc_id") % 10 != 0, F.col("source")).alias("s")).distinct()
-    b = d.filter("doc_id % 20 < 9").select(F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("t")).distinct()
+    return _same_sources(d, d.filter("doc_id % 20 < 9"))
+
+
+@query(
+    "null_safe_join_all",
+    """WITH a AS (SELECT DISTINCT CASE WHEN doc_id % 10 = 0 THEN NULL ELSE source END AS s FROM documents), b AS (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS s FROM documents)
+SELECT a.s, b.s IS NOT DISTINCT FROM a.s AS same FROM a JOIN b ON a.s IS NOT DISTINCT FROM b.s""",
+)
+def null_safe_join_all(spark, sf_dir):
+    """The same with all documents on both sides."""
+    d = load(spark, sf_dir, "documents")
+    return _same_sources(d, d)
+
+
+def _same_sources(left, right):
+    a = left.select(F.when(F.col("doc_id") % 10 != 0, F.col("source")).alias("s")).distinct()
+    b = right.select(F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("t")).distinct()
     return a.join(b, F.col("s").eqNullSafe(F.col("t"))).select("s", F.col("s").eqNullSafe(F.col("t")).alias("same"))
 
 
