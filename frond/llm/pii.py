@@ -6,7 +6,7 @@ behind a cue. Five labelers vote on each candidate (yes, no, or nothing): the st
 endings, the words before it, its surroundings, and its make-up. Votes are counted over all documents; expectation
 maximisation estimates every labeler's reliability and each vote pattern's probability of being personal data, without
 labels. A logistic classifier over the votes and shape of a span is trained on these probabilities and adds the candidates
-it accepts that overlap no base span.
+it accepts that overlap no base span; of those that overlap each other the likeliest stays.
 
 The vote table has at most kinds x 3^5 x shapes rows, whatever the corpus; documents are scored row by row.
 """
@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ _DIGIT = re.compile(r"[0-9]")
 MORE = ("number", "local_phone", "spelled_email", "secret")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}){1,5}", re.IGNORECASE)
-_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\x20?[:=]\x20?[\"']?([A-Za-z0-9+/_-]{16,128})(?![A-Za-z0-9+/_-])", re.IGNORECASE)
+_AT = re.compile(r"[\[(]at[\])]", re.IGNORECASE)  # in every match of the one above
+_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\x20?[:=]\x20?[\"']?([A-Za-z0-9+/_-]{16,})", re.IGNORECASE)
 # Gazetteer: endings of mail domains, leading digits of card issuers, words that announce personal data.
 _ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk")
 _ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65", "35", "36", "38")
@@ -119,15 +121,12 @@ def candidates(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple
     base, more = base_spans(text)
     if _DIGIT.search(text):
         more += [(m.start(), "local_phone", m.end()) for m in _LOCAL_PHONE.finditer(text)]
-        if "=" in text or ":" in text:
-            more += [(m.start(1), "secret", m.end(1)) for m in _SECRET.finditer(text)]
-    if "(at" in text or "[at" in text:
+    if "=" in text or ":" in text:
+        more += [(m.start(1), "secret", m.end(1)) for m in _SECRET.finditer(text)]
+    if _AT.search(text):
         more += [(m.start(), "spelled_email", m.end()) for m in _SPELLED.finditer(text)]
     taken = sorted((a, b) for a, _, b in base)
-    free = []
-    for a, kind, b in sorted(more):
-        if not any(x < b and a < y for x, y in taken) and not (free and free[-1][0] < b and a < free[-1][2]):
-            free.append((a, kind, b))
+    free = [(a, kind, b) for a, kind, b in sorted(more) if not any(x < b and a < y for x, y in taken)]
     keyed = [(_key(text, a, kind, b, False), (a, kind, b)) for a, kind, b in free]
     return base, keyed, Counter([k for k, _ in keyed] + [_key(text, a, kind, b, True) for a, kind, b in base])
 
@@ -192,6 +191,20 @@ def train(docs: DataFrame) -> np.ndarray | None:
     return classifier(keys, n, reliabilities(keys, n)[0])
 
 
+def probability(weights: np.ndarray | None, key: tuple[int, ...]) -> float:
+    return 0.0 if weights is None else float(1 / (1 + np.exp(-np.clip(_features(np.array([key])) @ weights, -30, 30)))[0])
+
+
+def chosen(more: list[tuple[tuple[int, ...], tuple[int, str, int]]], p: Callable[[tuple[int, ...]], float]) -> list[tuple[int, str, int]]:
+    """The accepted candidates without overlap, in order; the likelier one stays, of equal ones the first."""
+    out: list[tuple[int, str, int]] = []
+    for q, (a, kind, b) in sorted(((p(key), span) for key, span in more), key=lambda x: (-x[0], x[1])):
+        at = bisect_left(out, (a,))
+        if q >= ACCEPT and (at == 0 or out[at - 1][2] <= a) and (at == len(out) or out[at][0] >= b):
+            out.insert(at, (a, kind, b))
+    return out
+
+
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
@@ -208,12 +221,12 @@ def found(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
     kinds = KINDS + MORE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        accepted: dict[tuple[int, ...], bool] = {}
+        known: dict[tuple[int, ...], float] = {}
 
-        def accept(key: tuple[int, ...]) -> bool:
-            if key not in accepted:
-                accepted[key] = weights is not None and bool(1 / (1 + np.exp(-np.clip(_features(np.array([key])) @ weights, -30, 30)))[0] >= ACCEPT)
-            return accepted[key]
+        def p(key: tuple[int, ...]) -> float:
+            if key not in known:
+                known[key] = probability(weights, key)
+            return known[key]
 
         for batch in batches:
             counts, digests, spans = [], [], []
@@ -221,7 +234,7 @@ def found(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
                 base, more, _ = candidates(text.as_py())
                 counts.append(Counter(kind for _, kind, _ in base))
                 digests.append(hashlib.sha256(_text_of(base).encode()).hexdigest())
-                spans.append(_text_of(sorted(base + [s for key, s in more if accept(key)], key=lambda x: (x[0], kinds.index(x[1])))))
+                spans.append(_text_of(sorted(base + chosen(more, p), key=lambda x: (x[0], kinds.index(x[1])))))
             columns = [batch.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(spans, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FOUND.split(", ")])
 
@@ -237,7 +250,7 @@ def masked(docs: DataFrame, weights: np.ndarray | None, text: str = "text") -> D
             if t is None:
                 return None
             base, more, _ = candidates(t)
-            good = base + ([s for key, s in more if 1 / (1 + np.exp(-float((_features(np.array([key])) @ weights)[0]))) >= ACCEPT] if weights is not None else [])
+            good = base + chosen(more, lambda key: probability(weights, key))
             out, at = [], 0
             for a, kind, b in sorted(good):
                 if a >= at:
