@@ -26,10 +26,14 @@ def ascii_lower(text: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names in spark.checkpoint.dir; a folder of this run's own where it names none."""
+    """The folder for checkpoints that the cluster names in spark.checkpoint.dir. Where it names none, a session in one
+    process gets a folder of its own; on a cluster that is an error, as no machine's own folder is seen by the others."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="frond-checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="frond-checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -73,5 +77,47 @@ def left_join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, tota
     return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(names), key, "left_anti").join(rest, key, "left"))
 
 
+def inner_join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join with such a right side; both sides are read twice."""
+    limit = max(1000, int(total * HOT_SHARE))
+    hot, rest = right.filter(F.col(weight) > limit), right.filter(F.col(weight) <= limit)
+    return left.join(F.broadcast(hot), key).unionByName(left.join(rest, key))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner join with a right side that has one row for each key, where a few keys may hold most of the left rows.
+
+    Up to BROADCAST_ROWS left rows any key is small enough for one task. Beyond, keys with more than HOT_SHARE of the left
+    rows, fewer than 1 / HOT_SHARE, are found first. Their right rows are repeated
+    so that each copy meets about that share of the left rows, dealt out by the column ``spread``. Right rows may be of any
+    size, as only the hot keys are broadcast. Both sides are read twice, so save what is dear to make.
+    """
+    if small(left):
+        return left.join(right, key)
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    limit = max(1000, int(total * HOT_SHARE))
+    hot = saved(counts.filter(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_copies")))
+    if hot.isEmpty():
+        return left.join(right, key)
+    copies = F.coalesce("_copies", F.lit(1))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_copy", F.pmod(F.xxhash64(spread), copies).cast("int")).drop("_copies")
+    repeated = right.join(F.broadcast(hot), key, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+    return dealt.join(repeated, [key, "_copy"]).drop("_copy")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The whole table in the shared folder, with a number for every row: row, doc_id, text and doc, a struct of all columns,
+    so that no name can clash. Written once, so a row has the same number whenever it is read."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = written(whole.withColumn("row", F.monotonically_increasing_id()))
+    return rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"), "doc")
+
+
+def staying(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The columns of the table that ``numbered`` was given, without the rows whose numbers are in ``dropped`` (row)."""
+    return join_small_or_shuffled(rows, saved(dropped.select("row")), ["row"], "left_anti").select("doc.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

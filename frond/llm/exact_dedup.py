@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frond.llm.common import SPACE, join_small_or_shuffled, left_join_hot, saved, small
+from frond.llm.common import SPACE, left_join_hot, numbered, saved, small, staying
 
 
 def normalised(text: Column) -> Column:
@@ -23,11 +23,10 @@ def md5_128(norm: Column) -> Column:
     return F.unhex(F.md5(norm))
 
 
-def hashed(docs: DataFrame, hash128=md5_128) -> DataFrame:
-    """doc_id, hash, text_sha256, n (code points of the original), row (a number of its own for every row), saved."""
+def hashed(rows: DataFrame, hash128=md5_128) -> DataFrame:
+    """row, doc_id, hash, text_sha256 and n (code points of the original) of rows (row, doc_id, text), saved."""
     norm = normalised(F.col("text"))
-    rows = docs.select("doc_id", hash128(norm).alias("hash"), F.sha2(norm, 256).alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    return saved(rows.withColumn("row", F.monotonically_increasing_id()))
+    return saved(rows.select("row", "doc_id", hash128(norm).alias("hash"), F.sha2(norm, 256).alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).alias("n")))
 
 
 def variants(docs: DataFrame, rows: DataFrame, total: int, hash128=md5_128) -> DataFrame | None:
@@ -55,10 +54,14 @@ def decisions(docs: DataFrame, hash128=md5_128) -> DataFrame:
     """For every row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, and hash and row.
 
     Of equal texts the row with most code points in its original text stays, of those the one with the smallest doc_id
-    (a null doc_id comes last), of repeated rows any one. Null and empty texts, and texts of white space only, are equal
+    (a null doc_id comes last), of repeated rows the first. Null and empty texts, and texts of white space only, are equal
     to each other. An empty table gives an empty result. Other columns of ``docs`` are ignored, so their names can't
     clash.
     """
+    return _decided(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), hash128)
+
+
+def _decided(docs: DataFrame, hash128=md5_128) -> DataFrame:
     rows = hashed(docs, hash128)
     total = rows.count()
     clashing = variants(docs, rows, total, hash128)
@@ -79,19 +82,15 @@ def decisions(docs: DataFrame, hash128=md5_128) -> DataFrame:
         F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"),
         "text_sha256",
         "hash",
+        "row",
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The very rows of ``docs`` that ``decisions`` keeps, one for each group of equal texts, with all their columns.
 
-    The rows to drop are found by (doc_id, text hash); a kept row that is repeated as a whole stays once.
+    The table is written once with a number for every row; columns of any name go along in a struct. Nulls, ties, repeated
+    rows and empty tables are handled as ``decisions`` says.
     """
-    made = saved(decisions(docs).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("copies"), F.max("kept").alias("kept")).filter("copies > 1 or not kept"))
-    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    marks = saved(made.select(F.sha2(F.concat_ws(":", id_, "text_sha256"), 256).alias("_mark"), F.col("kept").alias("_again")))
-    mark = F.sha2(F.concat_ws(":", id_, F.sha2(normalised(F.col("text")), 256)), 256)
-    tagged = join_small_or_shuffled(docs.withColumn("_mark", mark), marks, ["_mark"], "left")
-    once = tagged.filter(F.isnull("_again")).drop("_mark", "_again")
-    again = tagged.filter("_again").dropDuplicates(["_mark"]).drop("_mark", "_again")
-    return once.unionByName(again) if not marks.filter("_again").isEmpty() else once
+    rows = numbered(docs)
+    return staying(rows, _decided(rows.select("row", "doc_id", "text")).filter("not kept"))

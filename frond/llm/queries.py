@@ -26,7 +26,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.decisions(table(spark, sf_dir, "documents")).drop("hash")
+    return exact_dedup.decisions(table(spark, sf_dir, "documents")).drop("hash", "row")
 
 
 OP4_SQL = r"""
@@ -54,7 +54,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row", "stays")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
