@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 #: Symbols up to which a word is merged by scanning its rank array.
 SCAN_LIMIT = 96
 #: Chunks that a worker keeps in each of its two cache generations, and the longest chunk that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
-WORD_ENTRIES = 200_000
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
+WORD_ENTRIES = 120_000
 
 #: White space of the vocabulary's own patterns (fixed values: the Unicode White_Space property).
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Ranges of the letters and digits that Unicode 16.0 added, and the capitals among the additions with their small letters
 #: (fixed values). The vocabulary's library knows these and nothing newer; Python's own tables may be older or newer.
 _UNICODE_16 = (

@@ -11,12 +11,13 @@ The counts are summed by Spark over all rows; a table of ``BUCKETS`` weights, wh
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frond.llm.bpe import Cache
@@ -30,21 +31,26 @@ MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_hash = Cache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), entries=150_000)
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    return np.array([_hash[w] for w in words], np.uint64)
+class Words(Cache):
+    """Hashes of words, 64 bits each; a task keeps those that it has met last."""
 
+    def __init__(self):
+        super().__init__(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), entries=100_000)
 
-def ngrams(text: str | None) -> np.ndarray:
+    def hashes(self, words: list[str]) -> np.ndarray:
+        return np.array([self[w] for w in words], np.uint64)
+
+
+def ngrams(text: str | None, known: Words) -> np.ndarray:
     """The buckets of a text's unigrams and bigrams, with repetitions."""
-    h = _hashes(_TOKEN.findall((text or "").lower()))
+    h = known.hashes(_TOKEN.findall((text or "").lower()))
     pairs = (h[:-1] * _MIX + h[1:]) * _MIX2
     return (np.concatenate([h * _MIX2, pairs]) >> np.uint64(64 - 14)).astype(np.int64)
 
 
-def measures(text: str | None) -> tuple[int, int, int, int, int]:
+def measures(text: str | None, known: Words) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text; null has no words."""
     text = text or ""
     words = WORD_RE.findall(text)
@@ -54,15 +60,15 @@ def measures(text: str | None) -> tuple[int, int, int, int, int]:
         if WORD_RE.search(line):
             repeated += line in seen
             seen.add(line)
-    return len(words), sum(map(len, words)), len(_SYMBOL.findall(text)), repeated, _in_repeated_windows(words)
+    return len(words), sum(map(len, words)), len(_SYMBOL.findall(text)), repeated, _in_repeated_windows(words, known)
 
 
-def _in_repeated_windows(words: list[str]) -> int:
+def _in_repeated_windows(words: list[str], known: Words) -> int:
     """Words that stand in a window of eight which the text has twice or more."""
     n = len(words) - WINDOW + 1
     if n < 2:
         return 0
-    h = _hashes(words)
+    h = known.hashes(words)
     windows = np.zeros(n, np.uint64)
     for i in range(WINDOW):
         windows = (windows ^ (windows >> np.uint64(31))) * _MIX + h[i : i + n]
@@ -79,10 +85,10 @@ def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     marked = join_small_or_shuffled(docs.select("doc_id", "text"), trusted.withColumn("good", F.lit(True)), ["doc_id"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw, target, known = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), Words()
         for batch in batches:
             for text, good in zip(batch.column(0), batch.column(1)):
-                found = np.bincount(ngrams(text.as_py()), minlength=BUCKETS)
+                found = np.bincount(ngrams(text.as_py(), known), minlength=BUCKETS)
                 raw += found
                 if good.as_py():
                     target += found
@@ -111,23 +117,23 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double"
 
 
-def judged(docs: DataFrame, weight: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` and, in a struct _quality, MEASURED for its text."""
+def judge(weight: np.ndarray, threshold: float = THRESHOLD) -> Callable[[Column], Column]:
+    """A function from a column of texts to a struct of MEASURED."""
 
     @F.pandas_udf(MEASURED)
-    def run(texts):
-        import pandas as pd
-
-        rows = []
-        for text in texts:
-            n, chars, symbols, lines, repeats = measures(text)
-            grams = ngrams(text)
-            ratio = float(weight[grams].mean()) if len(grams) else 0.0
-            failed = n < MIN_WORDS or 100 * repeats > MAX_REPEATED * n
-            rows.append((n, chars, symbols, lines, repeats, failed, not failed and ratio >= threshold, ratio))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in MEASURED.split(", ")])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Words()
+        for texts in batches:
+            rows = []
+            for text in texts:
+                n, chars, symbols, lines, repeats = measures(text, known)
+                grams = ngrams(text, known)
+                ratio = float(weight[grams].mean()) if len(grams) else 0.0
+                failed = n < MIN_WORDS or 100 * repeats > MAX_REPEATED * n
+                rows.append((n, chars, symbols, lines, repeats, failed, not failed and ratio >= threshold, ratio))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in MEASURED.split(", ")])
 
-    return docs.withColumn("_quality", run(F.col("text")))
+    return run
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -138,9 +144,12 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     gives an empty result; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    return judged(docs, weights(docs, trusted_ids(labels))).select("doc_id", "_quality.*")
+    judged = docs.select("doc_id", judge(weights(docs, trusted_ids(labels)))(F.col("text")).alias("said"))
+    return judged.select("doc_id", "said.*")
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    return judged(docs, weights(docs, trusted_ids(labels))).filter("_quality.kept").drop("_quality")
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names; odd rows as in ``verdicts``."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    judged = docs.select(whole, judge(weights(docs, trusted_ids(labels)))(F.col("text")).alias("said"))
+    return judged.filter("said.kept").select("doc.*")
