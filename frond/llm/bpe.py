@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frond.llm.common import tidy
+
 #: Symbols up to which a word is merged by scanning its rank array.
 SCAN_LIMIT = 96
 #: Chunks that a worker keeps in each of its two cache generations, and the longest chunk that is kept.
@@ -218,6 +220,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
         for batch in batches:

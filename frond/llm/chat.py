@@ -5,15 +5,13 @@ the loss mask. A turn of a user, a system or any other role is written ``[INST]r
 ``<s>text</s>``. Where a text or role holds one of these control strings, a backslash is put after the string's first
 character, and backslashes of the text are doubled; reading a formatted text back undoes both.
 
-Contexts repeat all that came before, so a conversation of n turns would need space in n squared. The context is
-therefore cut into chunks: as soon as it has grown over ``CHUNK`` characters it is written out as a row of its own, kind
-"context", and the examples that follow hold only what came later, with the number of such rows that stand before them.
-Conversations below the limit (nearly all) have every example whole in one row; in longer ones an example's full text is
-the texts of its conversation's first ``chunks`` context rows, in order, then its own. Turns after the last reply are
-written as a row of kind "tail", which trains nothing, so that conversations can be read back whole.
-
-Spark sorts the turns by conversation; both the formatter and the reader are streams over sorted rows, with one chunk in
-memory, so a conversation may hold any share of all rows.
+Every example is whole in its row, whatever its length, so contexts repeat all that came before and a conversation of n
+turns takes space in n squared; that is what the expansion means. Turns after the last reply are written as a row of kind
+"tail", which trains nothing, so that conversations can be read back whole. Reading back checks that each row begins with
+all that the row before it held.
+
+Spark sorts the turns by conversation; the formatter and the reader are streams over sorted rows that hold one example in
+memory, so a conversation may have any share of all rows.
 """
 
 from __future__ import annotations
@@ -26,15 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of context from which it is written out once and not repeated in each later example.
-CHUNK = 32_768
 OPEN, ROLE, CLOSE, REPLY, END = "[INST]", "[/ROLE]", "[/INST]", "<s>", "</s>"
 _CONTROL = r"(\[)(/?INST\]|/ROLE\])|(<)(/?s>)"
 _TURN = re.compile(r"\[INST\](.*?)\[/ROLE\](.*?)\[/INST\]|<s>(.*?)</s>", re.DOTALL)
 _ESCAPED = re.compile(r"\\(\\?)")
-EXAMPLES = "conv_id long, example long, kind string, chunks long, target_turn long, text string, loss_start long, loss_end long"
-READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
-ROWS = 256
+EXAMPLES = "conv_id long, example long, kind string, target_turn long, text string, loss_start long, loss_end long"
+READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, n_damaged long"
+#: Rows and characters after which a batch is sent.
+ROWS, CHARS = 256, 4_000_000
 
 
 def escaped(text: Column) -> Column:
@@ -47,23 +44,25 @@ def unescaped(text: str) -> str:
     return _ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = ROWS) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
+    chars = 0
     for row in rows:
         held.append(row)
-        if len(held) >= most:
+        chars += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) >= ROWS or chars >= CHARS:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-            held = []
+            held, chars = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
 _LONG, _TEXT = pa.int64(), pa.string()
 _EXAMPLE_SCHEMA = pa.schema(
-    [("conv_id", _LONG), ("example", _LONG), ("kind", _TEXT), ("chunks", _LONG), ("target_turn", _LONG), ("text", _TEXT), ("loss_start", _LONG), ("loss_end", _LONG)]
+    [("conv_id", _LONG), ("example", _LONG), ("kind", _TEXT), ("target_turn", _LONG), ("text", _TEXT), ("loss_start", _LONG), ("loss_end", _LONG)]
 )
 _READ_SCHEMA = pa.schema(
-    [("conv_id", _LONG), ("n_turns", _LONG), ("turns_sha256", _TEXT), ("loss_chars", _LONG), ("loss_sha256", _TEXT), ("formatted_chars", _LONG), ("n_examples", _LONG)]
+    [("conv_id", _LONG), ("n_turns", _LONG), ("turns_sha256", _TEXT), ("loss_chars", _LONG), ("loss_sha256", _TEXT), ("formatted_chars", _LONG), ("n_examples", _LONG), ("n_damaged", _LONG)]
 )
 
 
@@ -75,35 +74,29 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _expand(turns: Iterator[tuple]) -> Iterator[tuple]:
     """Turns in order (conv_id, reply?, formatted) to examples."""
-    none, conv, context, number, chunks, turn, fresh = object(), object(), "", 0, 0, 0, 0
-    current = none
+    none = object()
+    current, context, number, turn, fresh = none, "", 0, 0, False
     for conv, reply, formatted in turns:
-        if current is not none and conv != current:
+        if conv != current:
             if fresh:
-                yield current, number, "tail", chunks, None, context, None, None
-            context, number, chunks, turn, fresh = "", 0, 0, 0, 0
-        current = conv
+                yield current, number, "tail", None, context, None, None
+            current, context, number, turn, fresh = conv, "", 0, 0, False
+        start = len(context) + len(REPLY)
+        context += formatted
+        fresh = not reply
         if reply:
-            start = len(context) + len(REPLY)
-            context += formatted
-            yield conv, number, "example", chunks, turn, context, start, len(context) - len(END)
-            number, fresh = number + 1, 0
-        else:
-            context += formatted
-            fresh += 1
+            yield conv, number, "example", turn, context, start, len(context) - len(END)
+            number += 1
         turn += 1
-        if len(context) > CHUNK:
-            yield conv, number, "context", chunks, None, context, None, None
-            context, number, chunks, fresh = "", number + 1, chunks + 1, 0
-    if current is not none and fresh:
-        yield current, number, "tail", chunks, None, context, None, None
+    if fresh:
+        yield current, number, "tail", None, context, None, None
 
 
 def examples(conversations: DataFrame) -> DataFrame:
     """The training rows of ``conversations`` (conv_id, turn, role, text), the rows of a conversation together and in order.
 
-    Columns: conv_id, example (their order), kind, chunks, target_turn (place of the reply from 0), text, loss_start and
-    loss_end (code points of the reply's text in ``text``). Turns are ordered by turn, then role, then text, nulls first, so
+    Columns: conv_id, example (their order), kind, target_turn (place of the reply from 0), text (all turns before the reply,
+    then the reply), loss_start and loss_end (code points of the reply's text in ``text``). Turns are ordered by turn, then role, then text, nulls first, so
     ties have one order; repeated rows are turns of their own. Null roles and texts are empty; rows with a null conv_id
     form one conversation. Only the role "assistant" is trained. An empty table gives an empty result, other columns are
     ignored.
@@ -117,22 +110,24 @@ def examples(conversations: DataFrame) -> DataFrame:
 
 
 class _Reader:
-    """What is read back from one conversation's rows, in constant memory but for the newest row."""
+    """What is read back from one conversation's rows; the newest row is all that is kept of them."""
 
     def __init__(self, conv):
-        self.conv, self.turns, self.loss = conv, hashlib.sha256(), hashlib.sha256()
-        self.n_turns = self.loss_chars = self.formatted = self.n_examples = self.seen = 0
+        self.conv, self.turns, self.loss, self.before = conv, hashlib.sha256(), hashlib.sha256(), ""
+        self.n_turns = self.loss_chars = self.formatted = self.n_examples = self.n_damaged = 0
 
     def take(self, kind: str, text: str, start: int | None, end: int | None) -> None:
         self.formatted += len(text)
-        at = self.seen  # rows of a conversation repeat what the row before had, until a context row ends it
+        at = len(self.before)
+        self.n_damaged += not text.startswith(self.before)
         for m in _TURN.finditer(text, at):
             role, said, reply = m.groups()
             role, said = ("assistant", reply) if reply is not None else (unescaped(role), said)
             self.turns.update(f"{role}\n{unescaped(said)}\n".encode())
             self.n_turns += 1
             at = m.end()
-        self.seen = 0 if kind == "context" else at
+        self.n_damaged += at < len(text)  # something that is no turn
+        self.before = text
         if kind == "example":
             trained = unescaped(text[start:end])
             self.loss.update(trained.encode())
@@ -140,12 +135,12 @@ class _Reader:
             self.n_examples += 1
 
     def row(self) -> tuple:
-        return self.conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted, self.n_examples
+        return self.conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted, self.n_examples, self.n_damaged
 
 
 def _read(rows: Iterator[tuple]) -> Iterator[tuple]:
     reader = None
-    for conv, _, kind, _, _, text, start, end in rows:
+    for conv, _, kind, _, text, start, end in rows:
         if reader is None or reader.conv != conv:
             if reader is not None:
                 yield reader.row()
@@ -158,7 +153,8 @@ def _read(rows: Iterator[tuple]) -> Iterator[tuple]:
 def read_back(formatted: DataFrame, sorted_rows: bool = False) -> DataFrame:
     """Conversations as found in formatted rows alone: READ's columns, one row for each.
 
-    turns_sha256 digests role, newline, text, newline of every turn; loss_sha256 all text under the loss masks, in order.
+    turns_sha256 digests role, newline, text, newline of every turn; loss_sha256 all text under the loss masks, in order;
+    n_damaged counts rows that don't begin with the row before them, or hold something that is no turn.
     sorted_rows says that the rows of a conversation come together and in order, as ``examples`` makes them; stored rows
     are sorted first.
     """

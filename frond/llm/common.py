@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 #: ASCII white space, as the queries' contracts define it; the same class works in Java, Python and RE2.
 SPACE = r"\x20\x09-\x0D"
@@ -20,6 +25,19 @@ HOT_SHARE = 1 / 2000
 BROADCAST_ROWS = 200_000
 
 
+def tidy(run):
+    """A function of a task's batches that gives Arrow's free memory back at the end, as Python workers live on."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def ascii_lower(text: str) -> str:
     """Lower-case A-Z only, whatever else the text holds."""
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -48,12 +66,32 @@ def written(df: DataFrame) -> DataFrame:
 
     A checkpoint keeps the size that was estimated for its plan. In a loop that joins its state with itself the estimate is
     squared on every turn, until the driver runs out of memory over its digits; a table's size is the size of its files.
+    Inside ``scratch`` the table lasts as long as that does.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it ``written`` puts its tables into one folder, which goes when it ends; what is still needed must be saved by then."""
+    _scratch.append(f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        removed(spark, _scratch.pop())
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark's file systems have it."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a saved table may be broadcast; it reads no more than rows + 1 rows."""
     return df.limit(rows + 1).count() <= rows
@@ -84,17 +122,19 @@ def inner_join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, tot
     return left.join(F.broadcast(hot), key).unionByName(left.join(rest, key))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, keys: DataFrame | None = None) -> DataFrame:
     """Inner join with a right side that has one row for each key, where a few keys may hold most of the left rows.
 
     Up to BROADCAST_ROWS left rows any key is small enough for one task. Beyond, keys with more than HOT_SHARE of the left
     rows, fewer than 1 / HOT_SHARE, are found first. Their right rows are repeated
     so that each copy meets about that share of the left rows, dealt out by the column ``spread``. Right rows may be of any
-    size, as only the hot keys are broadcast. Both sides are read twice, so save what is dear to make.
+    size, as only the hot keys are broadcast. ``keys`` is a saved table with the left side's keys, where that itself is dear
+    to make.
     """
-    if small(left):
+    keys = left if keys is None else keys
+    if small(keys):
         return left.join(right, key)
-    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    counts = keys.groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     limit = max(1000, int(total * HOT_SHARE))
     hot = saved(counts.filter(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_copies")))
@@ -106,17 +146,27 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str) -> Dat
     return dealt.join(repeated, [key, "_copy"]).drop("_copy")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The whole table in the shared folder, with a number for every row: row, doc_id, text and doc, a struct of all columns,
-    so that no name can clash. Written once, so a row has the same number whenever it is read."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    rows = written(whole.withColumn("row", F.monotonically_increasing_id()))
-    return rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"), "doc")
+def row_key(docs: DataFrame) -> Column:
+    """A digest of a row's id, text and all other columns: equal for rows that are repeated as a whole, and for no others."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.to_json(c) if isinstance(f.dataType, (StructType, ArrayType, MapType)) else c for c, f in zip(names, docs.schema)]
+    rest = F.xxhash64(*[F.isnull(c) for c in names], *plain)
+    return F.unhex(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text"), rest.cast("string"))))
+
 
+def staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
-def staying(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The columns of the table that ``numbered`` was given, without the rows whose numbers are in ``dropped`` (row)."""
-    return join_small_or_shuffled(rows, saved(dropped.select("row")), ["row"], "left_anti").select("doc.*")
+    ``decided`` (key: the row_key, stays) has a row for each row of ``docs`` that may go. Rows repeated as a whole are
+    interchangeable; of those that stay one does.
+    """
+    made = saved(decided.groupBy("key").agg(F.count("*").alias("copies"), F.max("stays").alias("once")).filter("copies > 1 or not once").select("key", "once"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(docs).alias("key"))
+    told = join_small_or_shuffled(whole, made, ["key"], "left")
+    out = told.filter(F.isnull("once")).select("doc")
+    if not made.filter("once").isEmpty():
+        out = out.unionByName(told.filter("once").groupBy("key").agg(F.first("doc").alias("doc")).select("doc"))
+    return out.select("doc.*")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frond.llm.common import SPACE, left_join_hot, numbered, saved, small, staying
+from frond.llm.common import SPACE, left_join_hot, row_key, saved, small, staying
 
 
 def normalised(text: Column) -> Column:
@@ -24,7 +24,7 @@ def md5_128(norm: Column) -> Column:
 
 
 def hashed(rows: DataFrame, hash128=md5_128) -> DataFrame:
-    """row, doc_id, hash, text_sha256 and n (code points of the original) of rows (row, doc_id, text), saved."""
+    """row, doc_id, hash, text_sha256 and n (code points of the original) of rows (row: what tells them apart, doc_id, text), saved."""
     norm = normalised(F.col("text"))
     return saved(rows.select("row", "doc_id", hash128(norm).alias("hash"), F.sha2(norm, 256).alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).alias("n")))
 
@@ -89,8 +89,8 @@ def _decided(docs: DataFrame, hash128=md5_128) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The very rows of ``docs`` that ``decisions`` keeps, one for each group of equal texts, with all their columns.
 
-    The table is written once with a number for every row; columns of any name go along in a struct. Nulls, ties, repeated
-    rows and empty tables are handled as ``decisions`` says.
+    Rows are told apart by a digest of all their columns, so of rows with one id and text the same one stays on every run.
+    Nulls, ties, repeated rows and empty tables are handled as ``decisions`` says; extra columns may have any names.
     """
-    rows = numbered(docs)
-    return staying(rows, _decided(rows.select("row", "doc_id", "text")).filter("not kept"))
+    rows = docs.select(row_key(docs).alias("row"), "doc_id", "text")
+    return staying(docs, _decided(rows).select(F.col("row").alias("key"), F.col("kept").alias("stays")))

@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frond.llm.bpe import Cache
-from frond.llm.common import WORD_RE, ascii_lower, inner_join_hot, join_small_or_shuffled, left_join_hot, numbered, salted_join, saved, small, staying, written
+from frond.llm.common import WORD_RE, ascii_lower, inner_join_hot, join_small_or_shuffled, left_join_hot, row_key, salted_join, saved, scratch, small, staying, tidy, written
 
 SHINGLE, THRESHOLD = 5, 75
 BANDS, ROWS = 80, 6
@@ -41,7 +41,7 @@ PACK, PACK_SHINGLES = 1024, 2_000_000
 #: looked at first, not which are looked at.
 HUBS, HUB_BANDS = 3, 3
 #: Word hashes that a task keeps.
-KNOWN = 100_000
+KNOWN = 30_000
 SEED = 7
 #: Shingles whose hashes under all permutations are held at once.
 COLUMNS = 2048
@@ -52,6 +52,7 @@ _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _WORD_MULT = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_MULT = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_SALT = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+_BAND_BITS = np.uint64(127)
 
 
 def _hash(word: str) -> int:
@@ -93,35 +94,28 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
+    """57 bits of hash for every band, and the band's number in the last seven."""
     bands = sig.reshape(BANDS, ROWS)
-    return _mix((bands * _BAND_MULT).sum(axis=1, dtype=np.uint64) + _BAND_SALT).view(np.int64)
+    mixed = _mix((bands * _BAND_MULT).sum(axis=1, dtype=np.uint64) + _BAND_SALT)
+    return (mixed & ~_BAND_BITS | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _mark(doc_id: int | None, text: str | None) -> bytes:
-    return hashlib.md5(f"{'null' if doc_id is None else doc_id}:{text or ''}".encode()).digest()
-
-
-def mark(doc_id: Column, text: Column) -> Column:
-    """A digest of id and text, as _mark gives it."""
-    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))))
-
-
-SIGNED = "row long, doc_id long, mark binary, set_id binary, n long, bands array<long>, sketch binary"
+SIGNED = "key binary, doc_id long, set_id binary, n long, bands array<long>, sketch binary"
 
 
+@tidy
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Cache(_hash, KNOWN)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            marks, ids, sizes, bands, sketches = [], [], [], [], []
-            for doc, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+            ids, sizes, bands, sketches = [], [], [], []
+            for text in part.column(2).to_pylist():
                 s = shingles(text, known)
-                marks.append(_mark(doc, text))
                 sizes.append(len(s))
                 if len(s):
                     sig = signature(s)
@@ -132,10 +126,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.append(None)
                     bands.append(None)
                     sketches.append(None)
-            made = (pa.array(marks, pa.binary()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()))
+            made = (pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], [x.split()[0] for x in SIGNED.split(", ")])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cid, text) to (cid, s: the shingles)."""
     known = Cache(_hash, KNOWN)
@@ -147,7 +142,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Pack:
-    """Members of one bucket in parallel arrays; ``earlier`` has the low 31 bits of their band keys before this bucket's."""
+    """Members of one bucket in parallel arrays; ``earlier`` has 32 bits of their band keys before this bucket's."""
 
     def __init__(self, cids: pa.Scalar, comps: pa.Scalar, sizes: pa.Scalar, sketches: pa.Scalar, bands: pa.Scalar, sets: pa.Scalar | None, band: int):
         self.cids, self.comps, self.sizes = (x.values.to_numpy(zero_copy_only=False).copy() for x in (cids, comps, sizes))
@@ -186,6 +181,7 @@ def _packs(batch: pa.RecordBatch, sets: bool) -> Iterator[tuple[int, _Pack, _Pac
         yield band, left, _Pack(*fields[k : k + 5], fields[k + 5] if sets else None, band) if fields[k].is_valid else left
 
 
+@tidy
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of packs to their members (cid, band) that have a candidate in another component."""
     for batch in batches:
@@ -200,6 +196,7 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], ["cid", "band"])
 
 
+@tidy
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of packs with their sets to links (a, b) that join all components of theirs that have a link."""
     for batch in batches:
@@ -217,6 +214,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
 
+@tidy
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, set_a, set_b) to the pairs whose sets reach the threshold."""
     for batch in batches:
@@ -254,11 +252,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(cid, s: the full set) for the classes of ``wanted`` (cid), saved: read from the text of one document of each."""
-    marks = saved(wanted.distinct().join(classes, "cid").select("cid", "mark"))
-    texts = docs.select(mark(F.col("doc_id"), F.col("text")).alias("mark"), "text")
-    if not small(marks):
-        texts = texts.groupBy("mark").agg(F.first("text").alias("text"))  # repeated rows give their text once
-    found = join_small_or_shuffled(texts, marks, ["mark"], "inner").select("cid", "text")
+    keys = saved(wanted.distinct().join(classes, "cid").select("cid", "key"))
+    texts = docs.select("key", "text")
+    if not small(keys):
+        texts = texts.groupBy("key").agg(F.first("text").alias("text"))  # repeated rows give their text once
+    found = join_small_or_shuffled(texts, keys, ["key"], "inner").select("cid", "text")
     return saved(found.mapInArrow(_sets, "cid long, s binary").dropDuplicates(["cid"]))
 
 
@@ -266,9 +264,10 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     """The candidate pairs (a, b) of classes that are links, by their full sets; a written table."""
     pairs = written(pairs)
     sets = sets_of(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")), classes, docs)
+    told = pairs
     for side, other in (("a", "b"), ("b", "a")):
-        pairs = salted_join(pairs, sets.select(F.col("cid").alias(side), F.col("s").alias(f"set_{side}")), side, other)
-    return written(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long"))
+        told = salted_join(told, sets.select(F.col("cid").alias(side), F.col("s").alias(f"set_{side}")), side, other, pairs)
+    return written(told.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long"))
 
 
 def _pairs_of_packs(members: DataFrame, fields: list[str]) -> DataFrame:
@@ -288,22 +287,23 @@ def across_components(buckets: DataFrame, comps: DataFrame, classes: DataFrame,
     """Links (a, b) between classes of different components that share a bucket, enough to join all that are linked; written."""
     placed = join_small_or_shuffled(buckets, comps, ["cid"], "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).filter("low < high")
-    live = written(inner_join_hot(placed.drop("m"), saved(mixed.select("key", "m")), "key", "m", buckets.count()))
-    fields = ["cid", "comp", "n", "sketch", "low_bands"]
-    signed = classes.select("cid", "sketch", F.transform("bands", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("low_bands"))
+    live = inner_join_hot(placed.select("cid", "key", "comp"), saved(mixed.select("key", "m")), "key", "m", buckets.count())
+    live = written(live.withColumn("band", F.col("key").bitwiseAND(F.lit(127)).cast("int")))
+    fields = ["cid", "comp", "n", "sketch", "half_bands"]
+    signed = classes.select("cid", "n", "sketch", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("half_bands"))
     told = live.withColumn("packs", F.ceil(F.col("m") / PACK)).join(signed, "cid")
     suspects = written(_pairs_of_packs(told, fields).mapInArrow(_suspects, "cid long, band int").distinct())
     if suspects.isEmpty():
         return suspects.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
-    left = written(live.drop("m").join(suspects, ["cid", "band"]))
+    left = written(live.drop("m").join(suspects, ["cid", "band"]).join(classes.select("cid", "n"), "cid"))
     sizes = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / PACK), F.ceil(F.sum("n") / PACK_SHINGLES)).alias("packs"), F.count("*").alias("m"))
-    told = inner_join_hot(left, saved(sizes), "key", "m", left.count()).join(signed, "cid").join(sets_of(left.select("cid"), classes, docs), "cid")
+    told = inner_join_hot(left.drop("n"), saved(sizes), "key", "m", left.count()).join(signed, "cid").join(sets_of(left.select("cid"), classes, docs), "cid")
     return written(_pairs_of_packs(told, [*fields, "s"]).mapInArrow(_across, "a long, b long").distinct())
 
 
 def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(cid, comp) of all classes that are linked with others; None where there is no link."""
-    members = classes.select("cid", "n", F.posexplode("bands").alias("band", "key"))
+    members = classes.select("cid", F.explode("bands").alias("key"))
     shared = saved(members.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("first")).filter("m > 1"))
     buckets = saved(inner_join_hot(members, shared, "key", "m", classes.count()))
     # a few comparisons a class, with the classes that come first in most of its buckets; all others are left to the packs
@@ -316,49 +316,52 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """For every row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and row and stays.
+    """For every row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and key and stays.
 
     component_id is the smallest doc_id that can be reached over links (100 * intersection >= 75 * union), the row's own
     included; kept says that it is the row's own. Null and empty texts, and texts without words, have no shingles and are
     linked with nothing. A null id is never the smallest; where a group has only null ids its component_id is null and its
-    rows are kept. Rows repeated as a whole give repeated results. stays is true for one row of each group alone: that with
-    the smallest doc_id (null last), of these the first. An empty table gives an empty result; other columns are ignored.
+    rows are kept. Rows repeated as a whole give repeated results. stays is true for one row of each group, and those
+    repeated with it: that with the smallest doc_id (null last), of these the one with the smallest key (a digest of the
+    row). An empty table gives an empty result; other columns are ignored.
     """
-    return _labelled(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text"))
+    docs = docs.select("doc_id", "text")
+    return _labelled(docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long"), "text"))
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
     signed = saved(docs.mapInArrow(_sign, SIGNED))
-    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")
-    first = F.min_by(F.struct("bands", "sketch", "mark"), "row")
+    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key")
+    first = F.min_by(F.struct("bands", "sketch", "key"), "key")
     grouped = signed.filter("n > 0").groupBy("set_id").agg(F.count("*").alias("size"), F.min(order).alias("best"), F.max("n").alias("n"), first.alias("first"))
     classes = saved(grouped.select("set_id", "size", "best", "n", "first.*").withColumn("cid", F.monotonically_increasing_id()))
-    comps = class_components(classes, docs)
     ids = classes.select("cid", "set_id", "size", "best")
-    if comps is not None:
-        least = comps.join(classes.select("cid", "best"), "cid").groupBy("comp").agg(F.min("best").alias("least"), F.count("*").alias("m"))
-        of_class = left_join_hot(comps, saved(least), "comp", "m", comps.count()).select("cid", "least")
-        ids = ids.join(of_class, "cid", "left").filter("size > 1 or least is not null").withColumn("best", F.coalesce("least", "best"))
-    else:
-        ids = ids.filter("size > 1")
-    ids = saved(ids.select("set_id", "size", "best"))
-    found = left_join_hot(signed.select("row", "doc_id", "set_id", "n"), ids, "set_id", "size", signed.count())
+    with scratch(docs.sparkSession):
+        comps = class_components(classes, docs)
+        if comps is not None:
+            least = comps.join(classes.select("cid", "best"), "cid").groupBy("comp").agg(F.min("best").alias("least"), F.count("*").alias("m"))
+            of_class = left_join_hot(comps, saved(least), "comp", "m", comps.count()).select("cid", "least")
+            ids = ids.join(of_class, "cid", "left").filter("size > 1 or least is not null").withColumn("best", F.coalesce("least", "best"))
+        else:
+            ids = ids.filter("size > 1")
+        ids = saved(ids.select("set_id", "size", "best"))
+    found = left_join_hot(signed.select("key", "doc_id", "set_id", "n"), ids, "set_id", "size", signed.count())
     component = F.when(F.isnull("size"), F.col("doc_id")).otherwise(F.col("best.doc_id"))
     return found.withColumn("component_id", component).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.isnull("component_id")).alias("kept"),
-        "row",
-        F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("stays"),
+        "key",
+        F.coalesce(F.col("key") == F.col("best.key"), F.lit(True)).alias("stays"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each group of near duplicates, with all their columns.
 
-    The table is written once with a number for every row; columns of any name go along in a struct. Rows without shingles
-    all stay. Nulls, ties, repeated rows and empty tables are handled as ``near_duplicates`` says.
+    Rows without shingles all stay. Rows are told apart by a digest of all their columns; nulls, ties, repeated rows and
+    empty tables are handled as ``near_duplicates`` says, and extra columns may have any names.
     """
-    rows = numbered(docs)
-    return staying(rows, _labelled(rows.select("row", "doc_id", "text")).filter("not stays"))
+    labelled = _labelled(docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long"), "text"))
+    return staying(docs, labelled.filter("n_shingles > 0").select("key", "stays"))

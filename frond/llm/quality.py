@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frond.llm.bpe import Cache
-from frond.llm.common import WORD_RE, join_small_or_shuffled, saved
+from frond.llm.common import WORD_RE, join_small_or_shuffled, saved, tidy
 
 BUCKETS = 1 << 14
 #: Least mean log-likelihood ratio of a kept document, in nats an n-gram.
@@ -37,7 +37,7 @@ class Words(Cache):
     """Hashes of words, 64 bits each; a task keeps those that it has met last."""
 
     def __init__(self):
-        super().__init__(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), entries=100_000)
+        super().__init__(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), entries=30_000)
 
     def hashes(self, words: list[str]) -> np.ndarray:
         return np.array([self[w] for w in words], np.uint64)
@@ -84,6 +84,7 @@ def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, raw, target): n-grams of all ``docs`` and of those whose doc_id is in ``trusted`` (doc_id, saved)."""
     marked = join_small_or_shuffled(docs.select("doc_id", "text"), trusted.withColumn("good", F.lit(True)), ["doc_id"], "left")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target, known = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), Words()
         for batch in batches:
@@ -120,7 +121,7 @@ MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 def judge(weight: np.ndarray, threshold: float = THRESHOLD) -> Callable[[Column], Column]:
     """A function from a column of texts to a struct of MEASURED."""
 
-    @F.pandas_udf(MEASURED)
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = Words()
         for texts in batches:
@@ -133,7 +134,7 @@ def judge(weight: np.ndarray, threshold: float = THRESHOLD) -> Callable[[Column]
                 rows.append((n, chars, symbols, lines, repeats, failed, not failed and ratio >= threshold, ratio))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in MEASURED.split(", ")])
 
-    return run
+    return F.pandas_udf(run, MEASURED)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:

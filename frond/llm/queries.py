@@ -54,7 +54,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row", "stays")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("key", "stays")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

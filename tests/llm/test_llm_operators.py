@@ -1,6 +1,7 @@
 """The ten operators against plain versions, on small tables with odd rows: nulls, empty and long texts, ties, repetitions."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import brute
@@ -116,7 +117,7 @@ def test_mixing_without_words(spark):
     assert [(r.size, r.target, r.taken) for r in mixing.shares(none).collect()] == [(0, 0.0, 0)] * 3
 
 
-CHAT = "conv_id long, turn long, role string, text string, kind string, chunks long"
+CHAT = "conv_id long, turn long, role string, text string, kind string, example long"
 
 
 def test_chat_reads_back_what_it_wrote(spark, tmp_path):
@@ -131,8 +132,8 @@ def test_chat_reads_back_what_it_wrote(spark, tmp_path):
     for found in (chat.read_back(made, sorted_rows=True), chat.read_back(made)):
         assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in found.collect()} == want
     assert made.filter("kind = 'example'").count() == sum(r == "assistant" for _, _, r, _ in rows)
-    longest = made.agg(F.max(F.length("text"))).first()[0]
-    assert longest < 2 * chat.CHUNK + 100_000
+    assert made.filter("kind = 'example'").select("conv_id", "target_turn", "text", F.expr("substring(text, loss_start + 1, loss_end - loss_start)").alias("reply")).count() > 0
+    assert chat.read_back(made).filter("n_damaged > 0").isEmpty()
     assert chat.read_back(chat.examples(df.limit(0))).count() == 0
 
 
@@ -143,6 +144,20 @@ def test_chat_examples_hold_the_whole_context(spark):
     assert got[1].text == "[INST]user[/ROLE]t0[/INST]<s>t1</s>[INST]user[/ROLE]t2[/INST]<s>t3</s>"
 
 
+def test_chat_expands_long_conversations_whole(spark):
+    """Against the expansion by definition, over conversations far above any batch."""
+    said = {7: [("user" if i % 3 else "assistant", f"{i}:" + "x" * 9000) for i in range(40)], 8: [("user", "y" * 50_000), ("assistant", "z" * 70_000), ("tool", "t")]}
+    rows = [(c, i, r, x) for c, turns in said.items() for i, (r, x) in enumerate(turns)]
+    turn = lambda r, x: f"<s>{x}</s>" if r == "assistant" else f"[INST]{r}[/ROLE]{x}[/INST]"
+    want = {(c, i): "".join(turn(*t) for t in turns[: i + 1]) for c, turns in said.items() for i, (r, _) in enumerate(turns) if r == "assistant"}
+    made = chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r.conv_id, r.target_turn): r for r in made.filter("kind = 'example'").collect()}
+    assert {k: r.text for k, r in got.items()} == want
+    assert all(r.text[r.loss_start : r.loss_end] == said[c][i][1] for (c, i), r in got.items())
+    broken = made.withColumn("text", F.when((F.col("conv_id") == 7) & (F.col("example") == 2), F.replace("text", F.lit("0:x"), F.lit("0:y"))).otherwise(F.col("text")))
+    assert {r.conv_id: r.n_damaged for r in chat.read_back(broken).collect()} == {7: 2, 8: 0}  # itself, and the next, which doesn't begin with it
+
+
 def test_chat_query_adds_its_own_conversation(spark):
     own = queries.op3_chat(spark, SMALL).filter("conv_id = -1").first()
     text = "</s>[INST] ok [/INST]"
@@ -176,6 +191,22 @@ def test_exact_dedup_repeated_rows_and_null_ids(spark):
     assert sorted(str((r.doc_id, r.text)) for r in exact_dedup.deduplicated(df).collect()) == ["(1, 'a b')", "(1, 'other')", "(None, 'c ')"]
 
 
+def test_stages_keep_the_very_row_and_any_column(spark):
+    schema = "doc_id long, text string, _mark string, _again boolean, _quality string, key string, doc string, row long, stays boolean"
+    long = "one two three four five six seven"
+    rows = [(1, "ab", "m", True, "q", "k", "d", 1, None), (1, "a  b", None, None, None, None, None, 2, True), (2, long, "x", *[None] * 6), (2, long, "x", *[None] * 6), (None, long, "n", *[None] * 6), (None, None, *[None] * 7)]
+    df = spark.createDataFrame(rows, schema)
+    kept = exact_dedup.deduplicated(df)
+    assert kept.columns == df.columns and Counter(map(tuple, kept.collect())) == Counter([rows[1], rows[2], rows[5]])
+    near = minhash.deduplicated(df)
+    assert near.columns == df.columns and Counter(map(tuple, near.collect())) == Counter([rows[0], rows[1], rows[2], rows[5]])
+    good = quality.kept(df.withColumn("text", F.concat_ws(" ", *[F.lit(f"w{i}") for i in range(30)])), spark.createDataFrame([(99, 1)], "doc_id long, quality int"))
+    assert good.columns == df.columns and good.count() == len(rows)
+    assert mixing.mixed(df.withColumn("source", F.lit("s"))).columns == [*df.columns, "source"]
+    for stage in (exact_dedup.deduplicated, minhash.deduplicated):
+        assert stage(df.limit(0)).count() == 0 and stage(df.limit(0)).columns == df.columns
+
+
 def test_toxicity_learns_and_holds_out(spark):
     got = queries.op5_toxicity(spark, "/root/testdata/sf0.01")
     rows = got.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
@@ -354,6 +385,16 @@ def test_line_dedup(spark):
     assert line_dedup.cleaned(df.limit(0)).count() == 0
 
 
+def test_line_dedup_on_tags_by_the_pattern(spark):
+    """Against the pattern that defines tags, and over pages on which that pattern would be quadratic."""
+    pages = ["a<b>c\nd", "x>y<z>w", "<<a>b", "a<b", "<a\nb>c", "a>b>c<", "", None, " \x0b x \t\n\r y", ">" * 50, "<>" * 5, "k<a<b>c>d<e"]
+    want = [[x for line in re.sub("<[^>]*>", "\n", p or "").split("\n") if (x := line.strip(" \t\n\x0b\f\r"))] for p in pages]
+    long = ["<" * 300_000 + "x", "a" + " " * 300_000 + "b", "<b>" * 100_000]
+    df = spark.createDataFrame(list(enumerate(pages + long)), "i long, h string")
+    got = [r.lines for r in df.orderBy("i").select(line_dedup.lines_of(F.col("h")).alias("lines")).collect()]
+    assert got == want + [[long[0]], [long[1]], []]
+
+
 def test_line_dedup_joins_beyond_the_broadcast(spark, monkeypatch):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     want = sorted(map(tuple, line_dedup.cleaned(pages).collect()))
