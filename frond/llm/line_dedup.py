@@ -26,18 +26,14 @@ def host_of(url: Column) -> Column:
 def lines_of(html: Column) -> Column:
     """What stands between tags and line ends, trimmed, without empty lines; null has none. Linear in the page's length.
 
-    A tag runs from a < to the next >. The text is cut at every >; of a piece that has a <, all from its first < on is
-    the tag, and where no > follows it is text. So no pattern is tried anew at each of many unclosed <.
+    A tag runs from a < to the next >. Only what stands before the last > is searched for tags, so every < that is tried
+    has a > behind it, and none is tried in vain.
     """
-    pieces = F.split(F.coalesce(html, F.lit("")), ">", -1)
-    last = F.size(pieces) - 1
-
-    def outside(piece: Column, place: Column) -> Column:  # a > without a < before it is text
-        tag = F.substring_index(piece, "<", 1)
-        return F.when(place == last, piece).when(F.contains(piece, F.lit("<")), F.concat(tag, F.lit("\n"))).otherwise(F.concat(piece, F.lit(">")))
-
-    text = F.array_join(F.transform(pieces, outside), "")
-    return F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))), lambda x: x != "")
+    page = F.coalesce(html, F.lit(""))
+    rest = F.substring_index(page, ">", -1)
+    tagged = F.substring(page, F.lit(1), F.length(page) - F.length(rest))
+    text = F.concat(F.regexp_replace(tagged, "<[^>]*>", "\n"), rest)
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))), lambda x: x != "")
 
 
 def _key(line: Column) -> Column:
