@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frond.llm.common import tidy
+from frond.llm.common import modest_batches, of_stage, tidy
 
 #: Symbols up to which a word is merged by scanning its rank array.
 SCAN_LIMIT = 96
@@ -87,7 +87,7 @@ class Cache(dict):
 class Bpe:
     """Encoder and decoder for a ``tokenizers`` file of the kind: NFC, lower case, words by a pattern, bytes, word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, chunks: int = CACHE_ENTRIES, words: int = WORD_ENTRIES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -102,7 +102,7 @@ class Bpe:
         self.words = regex.compile(pattern)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.bytes = _byte_alphabet()
-        self.chunks, self.of_word = Cache(self._chunk), Cache(self._word, WORD_ENTRIES)
+        self.chunks, self.of_word = Cache(self._chunk, chunks), Cache(self._word, words)
 
     def merged(self, word: str) -> list[str]:
         """The parts of a word of byte stand-ins, after all merges."""
@@ -184,10 +184,9 @@ class Bpe:
         return " ".join(map(self.tokens.__getitem__, ids.split(" "))) if ids else ""
 
 
-@lru_cache(maxsize=2)
-def bpe(path: str) -> Bpe:
-    """One encoder for each worker process and file."""
-    return Bpe(path)
+def bpe(path: str, chunks: int = CACHE_ENTRIES) -> Bpe:
+    """One encoder for each worker process, stage and file."""
+    return of_stage(("bpe", path, chunks), lambda: Bpe(path, chunks, max(1, chunks * WORD_ENTRIES // CACHE_ENTRIES)))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -212,17 +211,19 @@ def decode(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "deco
     return docs.withColumn(text, run(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False, chunks: int = CACHE_ENTRIES) -> DataFrame:
     """Encode every text, decode the ids, and return doc_id, n_tokens, ids_sha256, decoded_sha256 (and token_ids, if asked for).
 
     Both ways run in one pass over the rows, so ids and decoded texts need not leave the worker. A null or empty text has
     no tokens and the digests of the empty string; repeated rows give repeated results; other columns are ignored.
+    ``chunks`` bounds what a worker keeps of what it has encoded.
     """
+    modest_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe(path)
+        model = bpe(path, chunks)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # a few MB of ids at a time
                 part = batch.slice(at, 500)

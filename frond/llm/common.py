@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -23,6 +24,28 @@ WORD_RE = re.compile(WORD)
 HOT_SHARE = 1 / 2000
 #: A table of ids is broadcast up to this many rows (about 16 MB in memory), and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+_kept: dict = {}
+
+
+def of_stage(key, make):
+    """What a Python worker keeps from task to task of one stage: made once, and dropped by the first task of another stage."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if _kept.get("stage") != stage:
+        _kept.clear()
+        _kept["stage"] = stage
+    if key is not None and key not in _kept:
+        _kept[key] = make()
+    return _kept.get(key)
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000, as each row here holds a whole text."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
 
 
 def tidy(run):
@@ -30,6 +53,7 @@ def tidy(run):
 
     @functools.wraps(run)
     def tidied(batches):
+        of_stage(None, None)
         try:
             yield from run(batches)
         finally:

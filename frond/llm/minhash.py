@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frond.llm.bpe import Cache
-from frond.llm.common import WORD_RE, ascii_lower, inner_join_hot, join_small_or_shuffled, left_join_hot, row_key, salted_join, saved, scratch, small, staying, tidy, written
+from frond.llm.common import WORD_RE, ascii_lower, inner_join_hot, join_small_or_shuffled, left_join_hot, modest_batches, row_key, salted_join, saved, scratch, small, staying, tidy, written
 
 SHINGLE, THRESHOLD = 5, 75
 BANDS, ROWS = 80, 6
@@ -330,6 +330,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
+    modest_batches(docs.sparkSession)
     signed = saved(docs.mapInArrow(_sign, SIGNED))
     order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key")
     first = F.min_by(F.struct("bands", "sketch", "key"), "key")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frond.llm.bpe import Cache
-from frond.llm.common import WORD_RE, join_small_or_shuffled, saved, tidy
+from frond.llm.common import WORD_RE, join_small_or_shuffled, modest_batches, saved, tidy
 
 BUCKETS = 1 << 14
 #: Least mean log-likelihood ratio of a kept document, in nats an n-gram.
@@ -82,6 +82,7 @@ def _in_repeated_windows(words: list[str], known: Words) -> int:
 
 def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, raw, target): n-grams of all ``docs`` and of those whose doc_id is in ``trusted`` (doc_id, saved)."""
+    modest_batches(docs.sparkSession)
     marked = join_small_or_shuffled(docs.select("doc_id", "text"), trusted.withColumn("good", F.lit(True)), ["doc_id"], "left")
 
     @tidy
