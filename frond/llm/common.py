@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,12 +32,21 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _kept: dict = {}
 
 
+def _give_back() -> None:
+    """Return what Arrow and the C library hold free to the system; only glibc has a call for the latter."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def of_stage(key, make):
     """What a Python worker keeps from task to task of one stage: made once, and dropped by the first task of another stage."""
     context = TaskContext.get()
     stage = context.stageId() if context else None
     if _kept.get("stage") != stage:
         _kept.clear()
+        _give_back()
         _kept["stage"] = stage
     if key is not None and key not in _kept:
         _kept[key] = make()
@@ -49,7 +60,7 @@ def modest_batches(spark: SparkSession) -> None:
 
 
 def tidy(run):
-    """A function of a task's batches that gives Arrow's free memory back at the end, as Python workers live on."""
+    """A function of a task's batches that gives free memory back at the end, as Python workers live on."""
 
     @functools.wraps(run)
     def tidied(batches):
@@ -57,7 +68,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            _give_back()
 
     return tidied
 
