@@ -8,7 +8,8 @@ gives in a text of n tokens, whose distribution is an extreme-value law: x = lam
 scores of clean documents. The significant segments' x are added up and turned into a probability by a logistic curve,
 fitted on a part of the sample that gave no log-odds.
 
-Fitting: at most ``SAMPLE`` labelled documents (those with the smallest hashes of their ids), at most ``UNITS`` units.
+Fitting: at most ``SAMPLE`` labelled documents (those with the smallest hashes of their ids), and every unit of theirs that
+tells toxic from clean documents, however many these are: the sample bounds them.
 Scoring: every row by itself, with the fitted model; no shuffle.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from frond.llm.bpe import Cache
 from frond.llm.common import saved
 
-SAMPLE, UNITS = 20_000, 20_000
+SAMPLE = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
 PRIOR, LEAST_ROOT, LEAST_ODDS, MOST_ODDS = 0.5, 4.0, 1.0, 8.0
 #: Share of the sample that fits the curve and not the log-odds, as one part of so many.
@@ -157,7 +158,7 @@ def fit(sample: DataFrame) -> Model:
     gain = part(a, (a + b) * share) + part(b, (a + b) * (1 - share)) + part(n1 - a, (n1 + n0 - a - b) * share) + part(n0 - b, (n1 + n0 - a - b) * (1 - share))
     odds = F.log((a + PRIOR) / (n1 - a + PRIOR)) - F.log((b + PRIOR) / (n0 - b + PRIOR))
     told = counts.withColumns({"odds": odds, "root": F.sqrt(F.greatest(gain * 2, F.lit(0.0)))}).filter((F.col("root") >= LEAST_ROOT) & (F.col("odds") >= LEAST_ODDS))
-    model.odds = {u: min(o, MOST_ODDS) for u, o in told.orderBy(F.desc("root"), "unit").limit(UNITS).select("unit", "odds").collect()}
+    model.odds = {u: min(o, MOST_ODDS) for u, o in told.select("unit", "odds").collect()}  # of SAMPLE documents at most
     _fit_scores(base, model)
     _fit_curve(sample, model)
     return model

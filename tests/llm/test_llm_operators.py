@@ -1,5 +1,6 @@
 """The ten operators against plain versions, on small tables with odd rows: nulls, empty and long texts, ties, repetitions."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -216,6 +217,23 @@ def test_toxicity_learns_and_holds_out(spark):
     assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg) > 0.85
 
 
+def test_toxicity_takes_every_telling_unit(spark):
+    """The log-odds of a small sample by brute force: all units beyond both thresholds are in the model, and no others."""
+    words = [f"vile{i:02d}" for i in range(30)]
+    texts = [(" ".join(words[i % 3 :: 3]) + " plain words here", 1, False) for i in range(60)] + [(f"plain words here and tale {i % 7}", 0, False) for i in range(90)]
+    model = toxicity.fit(spark.createDataFrame(texts, "text string, toxic int, curve boolean").repartition(3))
+    found = {label: [{u for w in text.split() for u in toxicity.units(w)} for text, toxic, _ in texts if toxic == label] for label in (1, 0)}
+    n1, n0, expected = len(found[1]), len(found[0]), {}
+    for unit in set().union(*found[1], *found[0]):
+        a, b = sum(unit in x for x in found[1]), sum(unit in x for x in found[0])
+        table = [(a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n1 + n0 - a - b), (n0 - b, n0, n1 + n0 - a - b)]
+        root = math.sqrt(max(0.0, 2 * sum(o * math.log(o * (n1 + n0) / (n * m)) for o, n, m in table if o)))
+        odds = math.log((a + toxicity.PRIOR) / (n1 - a + toxicity.PRIOR)) - math.log((b + toxicity.PRIOR) / (n0 - b + toxicity.PRIOR))
+        if root >= toxicity.LEAST_ROOT and odds >= toxicity.LEAST_ODDS:
+            expected[unit] = min(odds, toxicity.MOST_ODDS)
+    assert len(expected) >= 30 and model.odds == pytest.approx(expected)
+
+
 def test_toxicity_on_odd_texts(spark, documents, empty, labels):
     model = toxicity.fit(toxicity.sampled(documents, labels, F.lit(True)))
     again = toxicity.fit(toxicity.sampled(documents, labels.filter("false"), F.lit(True)))
