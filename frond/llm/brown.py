@@ -2,13 +2,15 @@
 
 Exchange clustering gives each of the ``CORE`` most frequent words a class: words are moved, one after the other, to the
 class that raises the likelihood of the class bigrams most, until none moves. The next words, up to ``CLASSED``, join the
-class that explains the classes before them best. Every rarer word that was seen twice or more joins the class that
-explains the classes on both its sides best; the rarer words of a class have transitions of their own. Words seen once
-stand for those never seen: both share one more class. The end of a text is a class of its own. A text's probability is
-the product of the class transitions (smoothed towards the class frequencies) and of the words' probabilities within
-their classes.
+class that explains the classes on both their sides best; then all words up to ``CLASSED`` are exchanged in the same way,
+``WIDE_TURNS`` times, the classes beside every word being counted anew before each turn. Every rarer word that was seen
+twice or more joins the class that explains the classes on both its sides best; the rarer words of a class have
+transitions of their own. Words seen once stand for those never seen: both share one more class. The end of a text is a
+class of its own. A text's probability is the product of the class transitions (smoothed towards the class frequencies)
+and of the words' probabilities within their classes.
 
 Word counts cover the whole training corpus, and the classes beyond ``CLASSED`` are found by word in a distributed table.
+The training texts are cut into words twice, for the counts and for a table of word places, which all later passes read.
 Tasks hold the ``HOT`` most frequent words (a fixed bound); what a document has of other words is joined with the table,
 by keys none of which is frequent, each with the class or the word beside it.
 """
@@ -26,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frond.llm.common import saved, written
+from frond.llm.common import modest_batches, saved, scratch, written
 
 CORE, CLASSED, HOT, CLASSES = 1024, 20_000, 120_000, 32
 #: Weight of the class frequencies in a transition, in observations.
 BETA = 5.0
-TURNS = 15
+TURNS, WIDE_TURNS = 15, 2
+#: Words in a row of the table of places, and such rows that a task counts together.
+ROW_WORDS, ROWS = 8_000, 64
 #: The class of words seen once or never, that of a text's end, and the first class of words beyond CLASSED.
 OTHERS, STOP, TAIL = CLASSES, CLASSES + 1, CLASSES + 2
 TOTAL = TAIL + CLASSES
@@ -69,18 +73,63 @@ def word_counts(training: DataFrame) -> DataFrame:
     return saved(training.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
 
 
-def _summed(training: DataFrame, cells: int, fill) -> np.ndarray:
-    """A table of a fixed number of cells, summed over the training texts; fill(table, text) adds a text's counts."""
+def coded(training: DataFrame, shared, limit: int) -> DataFrame:
+    """(ids, cold), written: whole texts, one after the other, as places of words (32 bits each) in the ``shared`` index;
+    ``limit`` is a word that has none, and stands in ``cold``; limit + 1 is the end of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(cells, np.int64)
+        get = shared.value.get
+        ids: list[int] = []
+        cold: list[bytes] = []
+        done: list[bytes] = []
+        offsets = [0]
+
+        def cut():
+            done.append(np.array(ids, "<i4").tobytes())
+            offsets.append(len(cold))
+            ids.clear()
+
+        def out():
+            rows = pa.RecordBatch.from_arrays([pa.array(done, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _strings(cold))], ["ids", "cold"])
+            cold.clear()
+            done.clear()
+            offsets[1:] = []
+            return rows
+
         for batch in batches:
             for text in batch.column(0):
-                fill(table, text)
+                words = words_of(text)
+                x = [get(w, limit) for w in words]
+                ids += x
+                ids.append(limit + 1)
+                cold += [w for w, i in zip(words, x) if i == limit]
+                if len(ids) >= ROW_WORDS:
+                    cut()
+                    if len(done) >= ROWS:
+                        yield out()
+        if ids:
+            cut()
+        yield out()
+
+    return written(training.select("text").mapInArrow(run, "ids binary, cold array<string>"))
+
+
+def _places(row: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(row.as_buffer(), "<i4").astype(np.int64)
+
+
+def _summed(places: DataFrame, cells: int, fill) -> np.ndarray:
+    """A table of a fixed number of cells, summed over the table of places; fill(table, ids) adds a row's counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(cells, np.int64)
+        for batch in batches:
+            for row in batch.column(0):
+                fill(table, _places(row))
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["cell", "n"])
 
-    rows = training.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = places.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(cells, np.int64)
     table[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return table
@@ -95,6 +144,30 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
+def _exchanged(pairs: np.ndarray, a: int, left: np.ndarray, right: np.ndarray, own: float, classes: int) -> int:
+    """Take a word out of its class a and put it where the likelihood of the class bigrams ``pairs``, which change with it,
+    is greatest. left, right: the classes before and after the word, without itself; own: how often it follows itself."""
+    pairs[a] -= right
+    pairs[:, a] -= left
+    pairs[a, a] -= own
+    eye = np.eye(len(pairs), dtype=bool)
+    rows, columns = pairs + right[None, :], pairs + left[:, None]
+    now = _xlogx(pairs)
+    gain = np.where(eye, 0, _xlogx(rows) - now).sum(axis=1) + np.where(eye, 0, _xlogx(columns) - now).sum(axis=0)
+    corner = np.diag(pairs)
+    gain += _xlogx(corner + right + left + own) - _xlogx(corner)
+    ahead, behind = pairs.sum(axis=1), pairs.sum(axis=0)
+    gain -= _xlogx(ahead + right.sum() + own) - _xlogx(ahead) + _xlogx(behind + left.sum() + own) - _xlogx(behind)
+    gain = gain[:classes]
+    b = int(gain.argmax())
+    if gain[b] <= gain[a] + 1e-9:
+        b = int(a)
+    pairs[b] += right
+    pairs[:, b] += left
+    pairs[b, b] += own
+    return b
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, turns: int = TURNS) -> np.ndarray:
     """Classes of words from their bigram counts; words come in order of frequency, the last two rows (others, end) keep
     classes of their own: ``classes`` and ``classes + 1``."""
@@ -103,40 +176,50 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, turns: int = TURNS) ->
     member = np.eye(total)[where]
     counts = bigrams.astype(float)
     pairs = member.T @ counts @ member
-    eye = np.eye(total, dtype=bool)
     for _ in range(turns):
         moved = 0
         for w in range(n):
-            own = counts[w, w]
+            a, own = where[w], counts[w, w]
             right = np.bincount(where, counts[w], total)
             left = np.bincount(where, counts[:, w], total)
-            right[where[w]] -= own
-            left[where[w]] -= own
-            a = where[w]
-            pairs[a] -= right
-            pairs[:, a] -= left
-            pairs[a, a] -= own
-            rows, columns = pairs + right[None, :], pairs + left[:, None]
-            gain_rows = np.where(eye, 0, _xlogx(rows) - _xlogx(pairs)).sum(axis=1)
-            gain_columns = np.where(eye, 0, _xlogx(columns) - _xlogx(pairs)).sum(axis=0)
-            corner = np.diag(pairs)
-            gain = gain_rows + gain_columns + _xlogx(corner + right + left + own) - _xlogx(corner)
-            ahead, behind = pairs.sum(axis=1), pairs.sum(axis=0)
-            gain -= _xlogx(ahead + right.sum() + own) - _xlogx(ahead) + _xlogx(behind + left.sum() + own) - _xlogx(behind)
-            gain = gain[:classes]
-            b = int(gain.argmax())
-            if gain[b] <= gain[a] + 1e-9:
-                b = int(a)
-            moved += b != a
-            where[w] = b
-            pairs[b] += right
-            pairs[:, b] += left
-            pairs[b, b] += own
+            right[a] -= own
+            left[a] -= own
+            where[w] = _exchanged(pairs, a, left, right, own, classes)
+            moved += where[w] != a
         if not moved:
             break
     return where
 
 
+def beside_classed(places: DataFrame, where: np.ndarray, classed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the first ``classed`` words how often every class stands before it and after it, and how often it follows
+    itself. ``where`` has the class of every place."""
+
+    def fill(table: np.ndarray, x: np.ndarray) -> None:
+        k = where[x]
+        at = np.flatnonzero(x < classed)  # never the last of a row, which is a text's end
+        before = np.concatenate([[STOP], k[:-1]])[at]
+        _add(table, np.concatenate([before * classed + x[at], (TAIL + k[at + 1]) * classed + x[at], 2 * TAIL * classed + x[at][x[at + 1] == x[at]]]))
+
+    seen = _summed(places, (2 * TAIL + 1) * classed, fill).reshape(-1, classed).astype(float)
+    return seen[:TAIL].T, seen[TAIL : 2 * TAIL].T, seen[-1]
+
+
+def exchanged_widely(where: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """One turn of exchange for all words that have a class in ``where``, from the classes beside them."""
+    pairs, where = np.zeros((TAIL, TAIL)), where.copy()
+    np.add.at(pairs.T, where, left)
+    beyond = np.zeros((TAIL, TAIL))
+    np.add.at(beyond, where, right)
+    pairs[:, CLASSES:] = beyond[:, CLASSES:]
+    for w in range(len(where)):
+        a = where[w]
+        alone = np.zeros(TAIL)
+        alone[a] = own[w]
+        where[w] = _exchanged(pairs, a, left[w] - alone, right[w] - alone, own[w], CLASSES)
+    return where
+
+
 def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
     """The most frequent words, ``most`` at most, by falling count: all whose count reaches a bound, which a histogram of
     the counts' logarithms (2,000 bins) sets. So no task sends more than it has of these words, however many tasks there are.
@@ -152,53 +235,52 @@ def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
     return top.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
 
-def neighbours(training: DataFrame, shared, where: np.ndarray, classed: int) -> DataFrame:
-    """(word, other, cell, n), written: the class transitions (no word; words from place ``classed`` on count as others),
-    for each of these words the classes before it (cell) and after it (TAIL + cell), and how often one of them is followed
-    by another (other)."""
-    limit = len(where) - 1
+def neighbours(places: DataFrame, shared, where: np.ndarray) -> DataFrame:
+    """(word, other, cell, n), written: the class transitions (no word), for each word of the class OTHERS in ``where`` the
+    classes before it (cell) and after it (TAIL + cell), and how often one of them is followed by another (other)."""
+    limit = len(where) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        hot = _strings([*shared.value, b"", b""])
         table = np.zeros(TAIL * TAIL, np.int64)
-        beside: Counter = Counter()
-        pairs: Counter = Counter()
 
         def out(word, other, cell, n):
-            return pa.RecordBatch.from_arrays([_strings(word), _strings(other), pa.array(cell, pa.int64()), pa.array(n, pa.int64())], ["word", "other", "cell", "n"])
-
-        def rows():
-            yield out([w for w, _ in beside], [None] * len(beside), [c for _, c in beside], list(beside.values()))
-            yield out([w for w, _ in pairs], [w for _, w in pairs], [None] * len(pairs), list(pairs.values()))
-            beside.clear()
-            pairs.clear()
+            n = pa.array(n, pa.int64())
+            none = lambda x, kind: pa.nulls(len(n), kind) if x is None else x
+            return pa.RecordBatch.from_arrays([none(word, pa.string()), none(other, pa.string()), none(cell, pa.int64()), n], ["word", "other", "cell", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text)
-                x = np.array([get(w, limit) for w in words], np.int64)
-                classes = np.concatenate([[STOP], where[x], [STOP]])
-                _add(table, classes[:-1] * TAIL + classes[1:])
-                at = np.flatnonzero(x >= classed)
-                rare = [words[i] for i in at.tolist()]
-                beside.update(zip(rare, classes[at].tolist()))
-                beside.update(zip(rare, (TAIL + classes[at + 2]).tolist()))
-                follow = at[classes[at + 2] == OTHERS].tolist()
-                pairs.update(zip([words[i] for i in follow], [words[i + 1] for i in follow]))
-                if len(beside) + len(pairs) > 300_000:
-                    yield from rows()
-        yield from rows()
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                x = np.concatenate([_places(row) for row in part.column(0)])
+                k = where[x]
+                before = np.concatenate([[STOP], k[:-1]])
+                _add(table, before * TAIL + k)
+                cold = part.column(1).flatten().dictionary_encode()
+                names = pa.concat_arrays([hot, cold.dictionary])
+                x[x == limit] = limit + 2 + cold.indices.to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(k == OTHERS)
+                found, n = np.unique(x[np.tile(at, 2)] * (2 * TAIL) + np.concatenate([before[at], TAIL + k[at + 1]]), return_counts=True)
+                yield out(names.take(pa.array(found // (2 * TAIL))), None, pa.array(found % (2 * TAIL)), n)
+                at = at[k[at + 1] == OTHERS]
+                found, n = np.unique(x[at] * len(names) + x[at + 1], return_counts=True)
+                yield out(names.take(pa.array(found // len(names))), names.take(pa.array(found % len(names))), None, n)
         at = np.flatnonzero(table)
-        yield out([None] * len(at), [None] * len(at), at, table[at])
+        yield out(None, None, pa.array(at), table[at])
+
+    return written(places.mapInArrow(run, "word string, other string, cell long, n long"))
 
-    return written(training.select("text").mapInArrow(run, "word string, other string, cell long, n long"))
+
+def _lift(pairs: np.ndarray) -> np.ndarray:
+    """How much likelier than by chance one class follows another, as a logarithm."""
+    p = pairs + 0.5
+    return np.log(p * p.sum() / (p.sum(axis=1, keepdims=True) * p.sum(axis=0)))
 
 
 def joined_to_classes(beside: DataFrame, pairs: np.ndarray) -> DataFrame:
     """(word, c, class, cells), saved: every word of ``beside`` (word, cell, n), its count and the class whose transitions
     ``pairs`` explain the classes on both its sides best (TAIL + class); OTHERS for words seen once."""
-    p = pairs + 0.5
-    lift = np.log(p * p.sum() / (p.sum(axis=1, keepdims=True) * p.sum(axis=0)))
+    lift = _lift(pairs)
     by_cell = np.concatenate([lift[:, :CLASSES], lift.T[:, :CLASSES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,6 +319,12 @@ class Model:
 
 def fit(training: DataFrame) -> Model:
     """The model of ``training`` (text)."""
+    with scratch(training.sparkSession):
+        return _fit(training)
+
+
+def _fit(training: DataFrame) -> Model:
+    modest_batches(training.sparkSession)
     counts = word_counts(training)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = most_frequent(counts.filter(F.col("word") != END), HOT)
@@ -247,37 +335,28 @@ def fit(training: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast(index)
     ends = counts.filter(F.col("word") == END).first()
 
-    def ids(text: pa.Scalar, limit: int, end: int) -> np.ndarray:
-        get = shared.value.get
-        found = np.array([get(w, limit) for w in words_of(text)] + [end], np.int64)
-        found[:-1] = np.minimum(found[:-1], limit)
-        return found
-
+    limit = len(top)
+    places = coded(training, shared, limit)
     size = core + 2
 
-    def core_bigrams(table: np.ndarray, text: pa.Scalar) -> None:
-        x = ids(text, core, core + 1)
+    def core_bigrams(table: np.ndarray, ids: np.ndarray) -> None:
+        x = np.where(ids > limit, core + 1, np.minimum(ids, core))
         _add(table, np.concatenate([[core + 1], x[:-1]]) * size + x)
 
-    core_pairs = _summed(training, size * size, core_bigrams).reshape(size, size)
+    core_pairs = _summed(places, size * size, core_bigrams).reshape(size, size)
+    where = np.full(limit + 2, OTHERS, np.int64)
+    where[-1] = STOP
     core_classes = exchange(core_pairs)
-
-    def contexts(table: np.ndarray, text: pa.Scalar) -> None:  # class before x word, for the words still without a class
-        x = ids(text, classed, classed)
-        before = np.concatenate([[STOP], core_classes[np.minimum(x[:-1], core)]])
-        at = (x >= core) & (x < classed)
-        _add(table, before[at] * max(1, classed - core) + x[at] - core)
-
-    where = np.full(len(top) + 1, OTHERS, np.int64)
     where[:core] = core_classes[:core]
     if classed > core:
-        seen = _summed(training, TAIL * (classed - core), contexts).reshape(TAIL, classed - core)
         member = np.eye(TAIL)[core_classes]
-        pairs = member.T @ core_pairs @ member + 0.5
-        lift = np.log(pairs / pairs.sum(axis=1, keepdims=True)) - np.log(pairs.sum(axis=0) / pairs.sum())
-        where[core:classed] = (seen.T @ lift[:, :CLASSES]).argmax(axis=1)
+        lift = _lift(member.T @ core_pairs @ member)
+        left, right, _ = beside_classed(places, where, classed)
+        where[core:classed] = (left[core:] @ lift[:, :CLASSES] + right[core:] @ lift.T[:, :CLASSES]).argmax(axis=1)
+        for _ in range(WIDE_TURNS):
+            where[:classed] = exchanged_widely(where[:classed], *beside_classed(places, where, classed))
 
-    beside = neighbours(training, shared, where, classed)
+    beside = neighbours(places, shared, where)
     pairs = np.zeros((TOTAL, TOTAL))
     for r in beside.filter("word is null").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # TAIL^2 rows at most
         pairs[divmod(r.cell, TAIL)] = r.n
@@ -300,6 +379,7 @@ def fit(training: DataFrame) -> Model:
         for r in tail.filter((F.col("c") >= int(hot_counts[-1])) & (F.col("class") != OTHERS)).select("word", "class").collect():
             where[index[r.word.encode()]] = r["class"]
 
+    where = where[:-1]
     of_class = pairs.sum(axis=0)
     share = (of_class + 1) / (of_class.sum() + TOTAL)
     transition = np.log10((pairs + BETA * share) / (pairs.sum(axis=1, keepdims=True) + BETA))
