@@ -25,10 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frond.llm.common import modest_batches, saved, scratch, written
+from frond.llm.common import given_back, modest_batches, saved, scratch, written
 
 CORE, CLASSED, HOT, CLASSES = 1024, 20_000, 120_000, 32
 #: Weight of the class frequencies in a transition, in observations.
@@ -132,6 +133,8 @@ def _summed(places: DataFrame, cells: int, fill) -> np.ndarray:
     rows = places.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(cells, np.int64)
     table[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    del rows
+    given_back()
     return table
 
 
@@ -236,18 +239,18 @@ def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
 
 
 def neighbours(places: DataFrame, shared, where: np.ndarray) -> DataFrame:
-    """(word, other, cell, n), written: the class transitions (no word), for each word of the class OTHERS in ``where`` the
-    classes before it (cell) and after it (TAIL + cell), and how often one of them is followed by another (other)."""
+    """(word, other, cells, cell, n), written: the class transitions (cell, n), for each word of the class OTHERS in ``where``
+    the classes before it (c) and after it (TAIL + c), a byte each (cells), and how often one of them is followed by another
+    (other, n)."""
     limit = len(where) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = _strings([*shared.value, b"", b""])
         table = np.zeros(TAIL * TAIL, np.int64)
 
-        def out(word, other, cell, n):
-            n = pa.array(n, pa.int64())
-            none = lambda x, kind: pa.nulls(len(n), kind) if x is None else x
-            return pa.RecordBatch.from_arrays([none(word, pa.string()), none(other, pa.string()), none(cell, pa.int64()), n], ["word", "other", "cell", "n"])
+        def out(rows: int, **columns):
+            kinds = {"word": pa.string(), "other": pa.string(), "cells": pa.binary(), "cell": pa.int64(), "n": pa.int64()}
+            return pa.RecordBatch.from_arrays([pa.nulls(rows, k) if (x := columns.get(c)) is None else x if isinstance(x, pa.Array) else pa.array(x, k) for c, k in kinds.items()], list(kinds))
 
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
@@ -260,15 +263,19 @@ def neighbours(places: DataFrame, shared, where: np.ndarray) -> DataFrame:
                 names = pa.concat_arrays([hot, cold.dictionary])
                 x[x == limit] = limit + 2 + cold.indices.to_numpy(zero_copy_only=False)
                 at = np.flatnonzero(k == OTHERS)
-                found, n = np.unique(x[np.tile(at, 2)] * (2 * TAIL) + np.concatenate([before[at], TAIL + k[at + 1]]), return_counts=True)
-                yield out(names.take(pa.array(found // (2 * TAIL))), None, pa.array(found % (2 * TAIL)), n)
+                of = np.argsort(x[at], kind="stable")
+                found, n = np.unique(x[at], return_counts=True)
+                cells = np.column_stack([before[at], TAIL + k[at + 1]])[of].astype(np.uint8).tobytes()
+                offsets = pa.array(np.concatenate([[0], 2 * np.cumsum(n)]), pa.int32())
+                packed = pa.Array.from_buffers(pa.binary(), len(found), [None, offsets.buffers()[1], pa.py_buffer(cells)])
+                yield out(len(found), word=names.take(pa.array(found)), cells=packed)
                 at = at[k[at + 1] == OTHERS]
                 found, n = np.unique(x[at] * len(names) + x[at + 1], return_counts=True)
-                yield out(names.take(pa.array(found // len(names))), names.take(pa.array(found % len(names))), None, n)
+                yield out(len(found), word=names.take(pa.array(found // len(names))), other=names.take(pa.array(found % len(names))), n=n)
         at = np.flatnonzero(table)
-        yield out(None, None, pa.array(at), table[at])
+        yield out(len(at), cell=at, n=table[at])
 
-    return written(places.mapInArrow(run, "word string, other string, cell long, n long"))
+    return written(places.mapInArrow(run, "word string, other string, cells binary, cell long, n long"))
 
 
 def _lift(pairs: np.ndarray) -> np.ndarray:
@@ -278,25 +285,47 @@ def _lift(pairs: np.ndarray) -> np.ndarray:
 
 
 def joined_to_classes(beside: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """(word, c, class, cells), saved: every word of ``beside`` (word, cell, n), its count and the class whose transitions
-    ``pairs`` explain the classes on both its sides best (TAIL + class); OTHERS for words seen once."""
+    """(word, c, class, cell), saved: every word of ``beside`` (word, cells), its count and the class whose transitions
+    ``pairs`` explain the classes on both its sides best (TAIL + class), OTHERS for words seen once; and without a word, how
+    often (c) a cell is beside the words of each such class.
+
+    None of these words is frequent, so a task takes all rows of a word, one after the other, and holds one word's counts.
+    """
     lift = _lift(pairs)
     by_cell = np.concatenate([lift[:, :CLASSES], lift.T[:, :CLASSES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = batch.column(2)
-            values = cells.flatten()
-            of = np.repeat(np.arange(batch.num_rows), np.diff(cells.offsets.to_numpy()))
-            score = np.zeros((batch.num_rows, CLASSES))
-            np.add.at(score, of, by_cell[values.field(0).to_numpy()] * values.field(1).to_numpy()[:, None])
-            class_ = np.where(batch.column(1).to_numpy() > 1, TAIL + score.argmax(axis=1), OTHERS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(class_), cells], ["word", "c", "class", "cells"])
+        moved = np.zeros((CLASSES, 2 * TAIL), np.int64)
+        last, held = None, np.zeros(2 * TAIL, np.int64)
 
-    cells = beside.repartition("word").groupBy("word", "cell").agg(F.sum("n").alias("n"))
-    # no more than 2 * TAIL cells a word
-    words = cells.groupBy("word").agg(F.sum(F.when(F.col("cell") < TAIL, F.col("n")).otherwise(0)).alias("c"), F.collect_list(F.struct("cell", "n")).alias("cells"))
-    return saved(words.mapInArrow(run, "word string, c long, class long, cells array<struct<cell: long, n: long>>"))
+        def told(words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+            c, best = counts[:, :TAIL].sum(axis=1), (counts @ by_cell).argmax(axis=1)
+            np.add.at(moved, best[c > 1], counts[c > 1])
+            return pa.RecordBatch.from_arrays([words, pa.array(c), pa.array(np.where(c > 1, TAIL + best, OTHERS)), pa.nulls(len(c), pa.int64())], ["word", "c", "class", "cell"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, cells = batch.column(0), batch.column(1)
+            new = np.ones(len(words), bool)
+            new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+            run_of = np.cumsum(new) - 1
+            sizes = pc.binary_length(cells).to_numpy()
+            every = np.frombuffer(b"".join(cells.to_pylist()), np.uint8)
+            counts = np.bincount(np.repeat(run_of, sizes) * 2 * TAIL + every, minlength=(run_of[-1] + 1) * 2 * TAIL).reshape(-1, 2 * TAIL)
+            words = words.filter(pa.array(new))
+            if last is not None and last == words[0].as_py():
+                counts[0] += held
+            elif last is not None:
+                yield told(pa.array([last], pa.string()), held[None])
+            last, held = words[-1].as_py(), counts[-1].copy()
+            yield told(words[:-1], counts[:-1])
+        if last is not None:
+            yield told(pa.array([last], pa.string()), held[None])
+        class_, cell = np.nonzero(moved)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(cell), pa.string()), pa.array(moved[class_, cell]), pa.array(TAIL + class_), pa.array(cell)], ["word", "c", "class", "cell"])
+
+    return saved(beside.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, c long, class long, cell long"))
 
 
 @dataclass
@@ -360,11 +389,11 @@ def _fit(training: DataFrame) -> Model:
     pairs = np.zeros((TOTAL, TOTAL))
     for r in beside.filter("word is null").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # TAIL^2 rows at most
         pairs[divmod(r.cell, TAIL)] = r.n
-    tail = joined_to_classes(beside.filter("word is not null and other is null").select("word", "cell", "n"), pairs[:TAIL, :TAIL])
+    told = joined_to_classes(beside.filter("cells is not null").select("word", "cells"), pairs[:TAIL, :TAIL])
+    tail = told.filter("word is not null")
     known = tail.filter(F.col("class") != OTHERS).select("word", "class")
     # transitions from and to words that now have a class
-    moved = tail.filter(F.col("class") != OTHERS).select("class", F.inline("cells")).groupBy("class", "cell").agg(F.sum("n").alias("n"))
-    for r in moved.collect():
+    for r in told.filter("word is null").groupBy("class", "cell").agg(F.sum("c").alias("n")).collect():
         k = r.cell % TAIL
         if k != OTHERS:
             old, new = ((k, OTHERS), (k, r["class"])) if r.cell < TAIL else ((OTHERS, k), (r["class"], k))

@@ -32,7 +32,7 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _kept: dict = {}
 
 
-def _give_back() -> None:
+def given_back() -> None:
     """Return what Arrow and the C library hold free to the system; only glibc has a call for the latter."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
@@ -46,7 +46,7 @@ def of_stage(key, make):
     stage = context.stageId() if context else None
     if _kept.get("stage") != stage:
         _kept.clear()
-        _give_back()
+        given_back()
         _kept["stage"] = stage
     if key is not None and key not in _kept:
         _kept[key] = make()
@@ -68,7 +68,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            given_back()
 
     return tidied
 
