@@ -130,9 +130,9 @@ def _summed(places: DataFrame, cells: int, fill) -> np.ndarray:
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["cell", "n"])
 
-    rows = places.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = places.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(cells, np.int64)
-    table[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    table[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     del rows
     given_back()
     return table
@@ -234,7 +234,7 @@ def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
         if total > most:
             break
         bound = row.bin
-    top = counts.filter(bin_ >= (1 << 30 if bound is None else bound)).select("word", "c").toPandas()
+    top = counts.filter(bin_ >= (1 << 30 if bound is None else bound)).select("word", "c").toArrow().to_pandas()
     return top.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
 
