@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frond.llm import bpe, brown, chat, exact_dedup, line_dedup, minhash, mixing, pii, quality, toxicity
-from frond.llm.common import table
+from frond.llm import bpe, brown, chat, exact_dedup, line_dedup, minhash, mixing, periodic, pii, quality, toxicity
+from frond.llm.common import WORD, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,5 +96,34 @@ SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(stay) AS n_dropped
 FROM k
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_minhash": op7_minhash, "op8_pii": op8_pii, "op9_brown": op9_brown, "op10_line_dedup": op10_line_dedup}
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the size of the text as it was; of a tenth of the documents, told by a digest of the id, the text is
+    made to repeat itself from one of its words on, which keeps the number of words. A null doc_id has no digest."""
+    docs = docs.select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+    words = docs.filter(h % 10 == 0).select("doc_id", "size", g.alias("g"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("w"))
+    n = F.size("w")
+    a = F.when(n > 0, F.col("g") % n).otherwise(0).cast("int")
+    placed = words.select("doc_id", "size", "w", n.alias("n"), a.alias("a"), (F.lit(1) + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    turns = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    cycle = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), turns))
+    text = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), cycle), F.lit(1), F.col("n")), " ")
+    return placed.select("doc_id", text.alias("text"), "size").unionByName(docs.filter(F.coalesce(h % 10 != 0, F.lit(True))))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(planted(table(spark, sf_dir, "documents")), size="size")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), F.concat(r.period.cast("string"), F.lit("\n")))), "")
+    told = found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), longest.alias("most"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("most.length"), -F.col("most.period")
+    return told.select(
+        "doc_id", "n_words", "n_runs", (-F.col("most.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("1000 * most.length div -most.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_minhash": op7_minhash, "op8_pii": op8_pii, "op9_brown": op9_brown, "op10_line_dedup": op10_line_dedup, "op11_periodic": op11_periodic}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL}
