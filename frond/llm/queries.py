@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frond.llm import bpe, brown, chat, exact_dedup, line_dedup, minhash, mixing, periodic, pii, quality, toxicity
-from frond.llm.common import WORD, table
+from frond.llm import audit, bpe, brown, chat, exact_dedup, line_dedup, minhash, mixing, periodic, pii, quality, toxicity, warc
+from frond.llm.common import WORD, shared_folder, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,5 +127,57 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_minhash": op7_minhash, "op8_pii": op8_pii, "op9_brown": op9_brown, "op10_line_dedup": op10_line_dedup, "op11_periodic": op11_periodic}
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL}
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.replay(audit.flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > 3 * length(x), regexp_matches(x, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false)] AS fails FROM t
+), l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), g AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), k AS (SELECT unnest([1, 2, 3, 4, 5]) AS i
+), o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS ord FROM k a, k b, k c, k d, k e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), m AS (
+  SELECT g.*, ord, k.i AS step, coalesce(nullif(list_position(list_transform(ord, lambda i: fails[i]), true), 0), 6) AS first,
+         fails[ord[k.i]] AS failing, len(list_filter(fails, lambda z: z)) AS n_fails
+  FROM g, o, k
+), s AS (
+  SELECT part, array_to_string(list_transform(ord, lambda i: 'ABCDE'[i]), '') AS filter_order, step,
+         sum(CASE WHEN first > step THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN first = step THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN failing AND first < step THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN failing AND n_fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN first = step THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN first = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM m GROUP BY ALL
+)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM s
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives are written to a new folder in the shared one, and read from there."""
+    at = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), at)
+    return warc.read(spark, at, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages
+), d AS (SELECT page_id, strlen(x) AS payload_bytes, sha1(x) AS payload_digest, CASE WHEN strlen(x) >= 1000 THEN max(page_id) OVER (PARTITION BY x) END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NOT NULL AND (page_id IS NULL OR page_id < top) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS NULL OR page_id < top THEN top END AS refers_to
+FROM d
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_minhash": op7_minhash, "op8_pii": op8_pii, "op9_brown": op9_brown, "op10_line_dedup": op10_line_dedup, "op11_periodic": op11_periodic, "op12_audit": op12_audit, "op13_warc": op13_warc}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op10_line_dedup": OP10_SQL, "op12_audit": OP12_SQL, "op13_warc": OP13_SQL}
