@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frond.operators.windows import greedy_folds
+from frond.operators.folds import stratified
 
 
 def assembled(df: DataFrame, columns: list[str], label: str, labels: list[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -118,8 +118,8 @@ def overridden(df: DataFrame, pair: tuple[str, str], labels: list[str], speciali
 
 
 def out_of_fold(df: DataFrame, columns: list[str], label: str, group: str, estimator, folds: int = 3) -> DataFrame:
-    """Predictions for every row by a model that saw no row of its group."""
-    made, labels = assembled(greedy_folds(df, group, folds), columns, label)
+    """Predictions for every row by a model that saw no row of its group; the folds are stratified by label."""
+    made, labels = assembled(stratified(df, group, label, folds), columns, label)
     parts = []
     for k in range(folds):
         train, test = made.filter(F.col("fold") != k), made.filter(F.col("fold") == k)

@@ -148,9 +148,13 @@ def trimmed_mean(df: DataFrame, groups: list[str], value: str, share: float = 0.
     return r.withColumn("k", kept).groupBy(*groups).agg((F.sum(F.col("k") * F.col(value)) / F.sum("k")).alias("trimmed_mean"))
 
 
+#: A group's own association counts from this p, rho and number of rows on.
+SIGN_P, SIGN_RHO, SIGN_ROWS = 0.05, 0.3, 15
+
+
 def signs(rho: Column, p: Column, overall: Column, n: Column) -> Column:
     """-1 where a group's own association is firm, opposed to the overall one and stronger, else 1."""
-    flip = (p < 0.05) & (F.abs(rho) >= 0.3) & (F.signum(rho) != F.signum(overall)) & (F.abs(rho) > F.abs(overall)) & (n >= 15)
+    flip = (p < SIGN_P) & (F.abs(rho) >= SIGN_RHO) & (F.signum(rho) != F.signum(overall)) & (F.abs(rho) > F.abs(overall)) & (n >= SIGN_ROWS)
     return F.when(flip, F.lit(-1)).otherwise(F.lit(1))
 
 

@@ -89,6 +89,7 @@ def autocorrelation(df: DataFrame, groups: list[str], place: str, value: str, la
     return one.select(*groups, F.posexplode(F.array(*[F.try_divide(F.col(f"_{k}"), F.col("_0")) for k in range(1, lags + 1)])).alias("lag", "r")).withColumn("lag", F.col("lag") + 1)
 
 
-def greedy_folds(df: DataFrame, group: str, folds: int, seed: int = 42) -> DataFrame:
-    """A fold for each group's rows by a seeded hash of the group, so that no group is in two folds."""
+def hashed_folds(df: DataFrame, group: str, folds: int, seed: int = 42) -> DataFrame:
+    """A fold for each group's rows by a seeded hash of the group, so that no group is in two folds; classes are not looked at
+    (``folds.stratified`` does)."""
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(folds)).cast("int"))

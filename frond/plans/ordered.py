@@ -159,4 +159,4 @@ def worst_in_group(spark, sf_dir):
 @query("grouped_folds", None)
 def grouped_folds(spark, sf_dir):
     """Documents by fold; no source is in two folds."""
-    return windows.greedy_folds(load(spark, sf_dir, "documents").select("source"), "source", 5).groupBy("fold", "source").agg(F.count("*").alias("n"))
+    return windows.hashed_folds(load(spark, sf_dir, "documents").select("source"), "source", 5).groupBy("fold", "source").agg(F.count("*").alias("n"))

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from frond.plans import evaluation, images, index, models, ordered, relational, statistics, streams  # noqa: E402, F401
+from frond.plans import evaluation, images, index, inference, models, ordered, relational, series, statistics, streams  # noqa: E402, F401

@@ -261,17 +261,6 @@ def level_thresholds(spark, sf_dir):
     return t.select(*[F.round(c, 6).alias(c) for c in t.columns])
 
 
-@query(
-    "sign_correction",
-    """WITH t AS (SELECT o_orderpriority AS g, o_custkey % 7 AS x, floor(o_totalprice / 5000) AS y FROM orders), o AS (SELECT corr(x, y) AS r FROM t)
-SELECT g, count(*) AS n, CASE WHEN abs(corr(x, y)) >= 0.3 AND sign(corr(x, y)) <> sign(max(r)) AND abs(corr(x, y)) > abs(max(r)) AND count(*) >= 15 THEN -1 ELSE 1 END::INT AS sign FROM t, o GROUP BY 1""",
-)
-def sign_correction(spark, sf_dir):
-    t = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), (F.col("o_custkey") % 7).cast("double").alias("x"), F.floor(F.col("o_totalprice") / 5000).cast("double").alias("y"))
-    by = t.groupBy("g").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho")).crossJoin(F.broadcast(t.agg(F.corr("x", "y").alias("overall"))))
-    return by.select("g", "n", stats.signs(F.col("rho"), F.lit(0.0), F.col("overall"), F.col("n")).alias("sign"))
-
-
 @query("cube_distinct", "SELECT lang, source, count(*) AS n, count(DISTINCT n_chars) AS sizes FROM documents GROUP BY CUBE (lang, source)")
 def cube_distinct(spark, sf_dir):
     return load(spark, sf_dir, "documents").cube("lang", "source").agg(F.count("*").alias("n"), F.countDistinct("n_chars").alias("sizes"))
