@@ -140,12 +140,6 @@ def px_mask_membership(spark, sf_dir):
     return px.filter("v > 0.1").join(mask, ["vec_id", "y", "x"], "left_anti").groupBy("vec_id").agg(F.count("*").alias("n"))
 
 
-@query("px_components", None)
-def px_components(spark, sf_dir):
-    """Number, largest and mean size of each image's 8-connected components."""
-    return kernels.apply(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, kernels.component_stats, "n long, largest long, mean double")
-
-
 @query("px_shape", None)
 def px_shape(spark, sf_dir):
     """Area, perimeter, solidity and the seven moment invariants of each image's foreground."""
