@@ -23,7 +23,8 @@ def ratio(x: Column, y: Column) -> Column:
 
 def robust_z(x: Column, median: Column, iqr: Column, bound: float) -> Column:
     """(x - median) / iqr within ±bound; null where the spread is unknown."""
-    return F.least(F.greatest((x - median) / iqr, F.lit(-bound)), F.lit(bound))
+    z = (x - median) / iqr
+    return F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-bound)), F.lit(bound)))  # greatest passes over null
 
 
 def signed_log(x: Column) -> Column:

@@ -98,11 +98,13 @@ def beta_i(x: Column, a: Column, b: Column, steps: int = STEPS) -> Column:
         return _steps(_state(c=F.lit(1.0), d=d, h=d), turn, lambda s: s.h, steps)
 
     def found(v: Column) -> Column:
-        x, a, b = v.x, v.a, v.b
-        head = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
-        near = x < (a + 1) / (a + b + 2)
-        inside = F.when(near, head * fraction(x, a, b) / a).otherwise(1 - head * fraction(1 - x, b, a) / b)
-        return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(inside)
+        # the fraction converges fast on one side of the mean, and I_x(a, b) = 1 - I_(1 - x)(b, a)
+        near = v.x < (v.a + 1) / (v.a + v.b + 2)
+        turned = F.struct(near.alias("near"), *[F.when(near, p).otherwise(q).cast("double").alias(k) for k, p, q in (("x", v.x, 1 - v.x), ("a", v.a, v.b), ("b", v.b, v.a))])
+        logs = lambda t: F.transform(F.array(t.a + t.b, t.a, t.b), log_gamma)
+        head = lambda t: let(logs(t), lambda g: F.exp(g[0] - g[1] - g[2] + t.a * F.log(t.x) + t.b * F.log(1 - t.x)))
+        inside = let(turned, lambda t: let(head(t) * fraction(t.x, t.a, t.b) / t.a, lambda i: F.when(t.near, i).otherwise(1 - i)))
+        return F.when(v.x <= 0, F.lit(0.0)).when(v.x >= 1, F.lit(1.0)).otherwise(inside)
 
     return let(_state(x=x, a=a, b=b), found)
 
@@ -118,8 +120,8 @@ def chi2_tail(x: Column, df: Column) -> Column:
 
 
 def t_tails(t: Column, df: Column) -> Column:
-    """The share of Student's distribution beyond ±|t|; that of the normal one from a million degrees of freedom on."""
-    return F.when(df >= 1_000_000, normal_tails(t)).otherwise(beta_i(df / (df + t * t), df / 2, F.lit(0.5)))
+    """The share of Student's distribution beyond ±|t|; a million degrees of freedom stand for any more."""
+    return let(F.least(df, F.lit(1e6)), lambda d: beta_i(d / (d + t * t), d / 2, F.lit(0.5)))
 
 
 def sign_test(a: Column, b: Column) -> Column:

@@ -106,9 +106,9 @@ def assignments(df: DataFrame, group: str, label: str, folds: int, seed: int = 4
     return patterned.select("group", "pattern", "place").join(known, ["pattern", "place"]).select(F.col("group").alias(group), "fold")
 
 
-def stratified(df: DataFrame, group: str, label: str, folds: int, seed: int = 42) -> DataFrame:
-    """All rows with their ``fold``."""
-    dealt_to = bounded_broadcast(assignments(df, group, label, folds, seed).withColumnRenamed(group, "_group"))
+def stratified(df: DataFrame, group: str, label: str, folds: int, seed: int = 42, name: str = "fold") -> DataFrame:
+    """All rows with their fold."""
+    dealt_to = bounded_broadcast(assignments(df, group, label, folds, seed).select(F.col(group).alias("_group"), F.col("fold").alias(name)))
     return df.join(dealt_to, df[group].eqNullSafe(F.col("_group"))).drop("_group")
 
 
