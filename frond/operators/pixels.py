@@ -24,18 +24,6 @@ def coverage(px: DataFrame, key: str, inside: Column) -> DataFrame:
     return px.groupBy(key).agg(F.count_if(inside).alias("n"), F.avg(inside.cast("double")).alias("coverage"))
 
 
-def damage_class(r: Column, g: Column, b: Column) -> Column:
-    """The first rule that a pixel meets: necrotic (dark, not green), chlorotic (yellow), pale, green, other."""
-    value, low = F.greatest(r, g, b), F.least(r, g, b)
-    return (
-        F.when((value < 0.25) & (g <= r), "necrotic")
-        .when((r > 0.5) & (g > 0.5) & (b < 0.4), "chlorotic")
-        .when((value > 0.8) & (value - low < 0.15), "pale")
-        .when((g > r) & (g > b), "green")
-        .otherwise("other")
-    )
-
-
 def otsu(px: DataFrame, key: str, level: Column, levels: int) -> DataFrame:
     """The threshold with the largest between-class variance of each image, the first on ties, from its histogram."""
     hist = px.groupBy(key, level.alias("level")).agg(F.count("*").cast("double").alias("n"))

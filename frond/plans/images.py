@@ -26,17 +26,6 @@ def px_coverage(spark, sf_dir):
     return pixels.coverage(_px(spark, sf_dir), "vec_id", F.col("v") > 0)
 
 
-@query(
-    "px_damage_rules",
-    f"""WITH {_PX}, c AS (SELECT vec_id, y, min(v) FILTER (x = 0) + 0.5 AS r, min(v) FILTER (x = 1) + 0.5 AS g, min(v) FILTER (x = 2) + 0.5 AS b FROM px GROUP BY 1, 2)
-SELECT CASE WHEN greatest(r, g, b) < 0.25 AND g <= r THEN 'necrotic' WHEN r > 0.5 AND g > 0.5 AND b < 0.4 THEN 'chlorotic' WHEN greatest(r, g, b) > 0.8 AND greatest(r, g, b) - least(r, g, b) < 0.15 THEN 'pale' WHEN g > r AND g > b THEN 'green' ELSE 'other' END AS class, count(*) AS n FROM c GROUP BY 1""",
-)
-def px_damage_rules(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings").select(F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"), F.col("embedding").cast("array<double>").alias("e"))
-    r, g, b = (F.col("e")[F.col("y") * 8 + i] + 0.5 for i in range(3))
-    return e.groupBy(pixels.damage_class(r, g, b).alias("class")).agg(F.count("*").alias("n"))
-
-
 @query(
     "px_otsu",
     f"""WITH {_PX}, h AS (SELECT vec_id, {_LEVEL} AS level, count(*)::DOUBLE AS n FROM px GROUP BY 1, 2),
