@@ -76,20 +76,10 @@ def roughness(spark, sf_dir):
 
 @query(
     "angular_gaps",
-    """WITH a AS (SELECT DISTINCT p_type, p_size * 7 AS angle FROM part WHERE p_size % 6 = 0)
-SELECT p_type, angle, coalesce(lead(angle) OVER (PARTITION BY p_type ORDER BY angle), min(angle) OVER (PARTITION BY p_type) + 360) - angle AS gap FROM a""",
-)
-def angular_gaps(spark, sf_dir):
-    return _gaps(load(spark, sf_dir, "part").filter("p_size % 6 = 0"))
-
-
-@query(
-    "angular_gaps_all",
     """WITH a AS (SELECT DISTINCT p_type, p_size * 7 AS angle FROM part)
 SELECT p_type, angle, coalesce(lead(angle) OVER (PARTITION BY p_type ORDER BY angle), min(angle) OVER (PARTITION BY p_type) + 360) - angle AS gap FROM a""",
 )
-def angular_gaps_all(spark, sf_dir):
-    """The same with all sizes of a type as neighbours."""
+def angular_gaps(spark, sf_dir):
     return _gaps(load(spark, sf_dir, "part"))
 
 
@@ -100,17 +90,11 @@ def _gaps(part):
 
 @query(
     "turning_angles",
-    """WITH e AS (SELECT event_id, user_id, epoch(ts)::DOUBLE / 1000 AS x, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id % 20 = 1),
+    """WITH e AS (SELECT event_id, user_id, epoch(ts)::DOUBLE / 1000 AS x, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 s AS (SELECT event_id, x - lag(x, 2) OVER w AS ax, y - lag(y, 2) OVER w AS ay, lead(x, 2) OVER w - x AS bx, lead(y, 2) OVER w - y AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY i))
 SELECT event_id, round(atan2(ax * b - ay * bx, ax * bx + ay * b), 5) AS turn FROM s""",
 )
 def turning_angles(spark, sf_dir):
-    return _turns(load(spark, sf_dir, "events").filter("user_id % 20 = 1"))
-
-
-@query("turning_angles_all", None)
-def turning_angles_all(spark, sf_dir):
-    """The same for every user."""
     return _turns(load(spark, sf_dir, "events"))
 
 

@@ -43,21 +43,10 @@ def view_fusion(spark, sf_dir):
 
 @query(
     "unmatched_views",
-    """WITH r AS (SELECT conv_id, max((role = 'user')::INT) AS t, max((role = 'assistant')::INT) AS b FROM conversations WHERE role IN ('user', 'system') OR conv_id % 3 > 0 GROUP BY 1)
-SELECT conv_id, CASE WHEN t = 0 THEN 'top' ELSE 'bottom' END AS missing_view FROM r WHERE t + b = 1""",
-)
-def unmatched_views(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations").filter("role in ('user', 'system') or conv_id % 3 > 0")
-    return joins.unmatched(c.filter("role = 'user'"), c.filter("role = 'assistant'"), "conv_id")
-
-
-@query(
-    "unmatched_views_all",
     """WITH r AS (SELECT conv_id, max((role = 'user')::INT) AS t, max((role = 'assistant')::INT) AS b FROM conversations GROUP BY 1)
 SELECT conv_id, CASE WHEN t = 0 THEN 'top' ELSE 'bottom' END AS missing_view FROM r WHERE t + b = 1""",
 )
-def unmatched_views_all(spark, sf_dir):
-    """The same over every turn as it is."""
+def unmatched_views(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     return joins.unmatched(c.filter("role = 'user'"), c.filter("role = 'assistant'"), "conv_id")
 
@@ -110,21 +99,10 @@ def theta_pairs(spark, sf_dir):
 
 @query(
     "lookup_fallback",
-    """WITH g AS (SELECT c_nationkey, avg(c_acctbal) AS m FROM customer WHERE c_nationkey < 12 GROUP BY 1), o AS (SELECT avg(c_acctbal) AS m FROM customer)
-SELECT s_suppkey, round(s_acctbal - coalesce(g.m, o.m), 4) AS delta FROM supplier CROSS JOIN o LEFT JOIN g ON s_nationkey = c_nationkey""",
-)
-def lookup_fallback(spark, sf_dir):
-    c = load(spark, sf_dir, "customer")
-    return _deltas(load(spark, sf_dir, "supplier"), c, c.filter("c_nationkey < 12"))
-
-
-@query(
-    "lookup_fallback_all",
     """WITH g AS (SELECT c_nationkey, avg(c_acctbal) AS m FROM customer GROUP BY 1), o AS (SELECT avg(c_acctbal) AS m FROM customer)
 SELECT s_suppkey, round(s_acctbal - coalesce(g.m, o.m), 4) AS delta FROM supplier CROSS JOIN o LEFT JOIN g ON s_nationkey = c_nationkey""",
 )
-def lookup_fallback_all(spark, sf_dir):
-    """The same with the customers of all nations."""
+def lookup_fallback(spark, sf_dir):
     c = load(spark, sf_dir, "customer")
     return _deltas(load(spark, sf_dir, "supplier"), c, c)
 
@@ -137,21 +115,10 @@ def _deltas(supplier, c, known):
 
 @query(
     "null_safe_join",
-    """WITH a AS (SELECT DISTINCT CASE WHEN doc_id % 10 = 0 THEN NULL ELSE source END AS s FROM documents), b AS (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS s FROM documents WHERE doc_id % 20 < 9)
-SELECT a.s, b.s IS NOT DISTINCT FROM a.s AS same FROM a JOIN b ON a.s IS NOT DISTINCT FROM b.s""",
-)
-def null_safe_join(spark, sf_dir):
-    d = load(spark, sf_dir, "documents")
-    return _same_sources(d, d.filter("doc_id % 20 < 9"))
-
-
-@query(
-    "null_safe_join_all",
     """WITH a AS (SELECT DISTINCT CASE WHEN doc_id % 10 = 0 THEN NULL ELSE source END AS s FROM documents), b AS (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS s FROM documents)
 SELECT a.s, b.s IS NOT DISTINCT FROM a.s AS same FROM a JOIN b ON a.s IS NOT DISTINCT FROM b.s""",
 )
-def null_safe_join_all(spark, sf_dir):
-    """The same with all documents on both sides."""
+def null_safe_join(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
     return _same_sources(d, d)
 
@@ -319,14 +286,8 @@ def json_kv(spark, sf_dir):
     return e.groupBy("event_type").agg(F.sum("k").alias("k"), F.count("*").alias("n"))
 
 
-@query("exif_order", "SELECT event_id, strftime(date_trunc('second', ts), '%Y:%m:%d %H:%M:%S') AS exif, date_trunc('second', ts) AS taken FROM events WHERE user_id % 10 = 0")
+@query("exif_order", "SELECT event_id, strftime(date_trunc('second', ts), '%Y:%m:%d %H:%M:%S') AS exif, date_trunc('second', ts) AS taken FROM events")
 def exif_order(spark, sf_dir):
-    return _exif(load(spark, sf_dir, "events").filter("user_id % 10 = 0"))
-
-
-@query("exif_order_all", "SELECT event_id, strftime(date_trunc('second', ts), '%Y:%m:%d %H:%M:%S') AS exif, date_trunc('second', ts) AS taken FROM events")
-def exif_order_all(spark, sf_dir):
-    """The same for every user."""
     return _exif(load(spark, sf_dir, "events"))
 
 

@@ -15,5 +15,5 @@ def test_null_keys_and_fallbacks(spark):
     n = spark.createDataFrame([(1, float(x)) for x in range(10)] + [(2, 100.0)], "c_nationkey long, c_acctbal double")
     got = {r.c_nationkey: (r.n, r.median, r.iqr) for r in statistics._norm_stats(n).collect()}
     assert got == {1: (10, 4.5, 4.5), 2: (1, 5.0, 5.0)}
-    nations = {r.c_nationkey: r.n for r in registry.QUERIES["norm_stats_fallback_all"](spark, SMALL).collect()}
+    nations = {r.c_nationkey: r.n for r in registry.QUERIES["norm_stats_fallback"](spark, SMALL).collect()}
     assert sum(nations.values()) == spark.read.parquet(f"{SMALL}/customer.parquet").count()
