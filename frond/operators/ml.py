@@ -6,6 +6,8 @@ support vector machine is a linear one on random Fourier features, histogram boo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -117,6 +119,25 @@ def overridden(df: DataFrame, pair: tuple[str, str], labels: list[str], speciali
     return df.withColumns({"overridden": close, "label_final": F.when(close, specialist).otherwise(F.col("label_vote"))})
 
 
+def pair_specialist(train: DataFrame, columns: list[str], label: str, pair: tuple[str, str], k: int = 15, trees: int = 40, depth: int = 5) -> Callable[[DataFrame], DataFrame]:
+    """A forest and a linear model fitted on the rows of one pair of labels, on the ``k`` columns that tell most about it. What it
+    returns adds ``specialist`` (the label with the larger mean probability) and ``specialist_p`` to a table with the columns."""
+    rows = train.filter(F.col(label).isin(*pair))
+    names = selected(mutual_information(rows, columns, label).withColumnRenamed("mi", "score"), k)
+    labels = sorted(pair)
+    made, _ = assembled(rows, names, label, labels)
+    models = [forest(trees, depth).fit(made), linear().fit(made)]
+
+    def decide(df: DataFrame) -> DataFrame:
+        out, _ = assembled(df.drop("_raw", "y"), names, label, labels)
+        for i, m in enumerate(models):
+            out = probabilities(m, out, f"_s{i}")
+        out = voted(out, ["_s0", "_s1"], [1.0, 1.0], labels)
+        return out.select(*df.drop("_raw", "y").columns, F.col("label_vote").alias("specialist"), F.array_max("vote").alias("specialist_p"))
+
+    return decide
+
+
 def out_of_fold(df: DataFrame, columns: list[str], label: str, group: str, estimator, folds: int = 3) -> DataFrame:
     """Predictions for every row by a model that saw no row of its group; the folds are stratified by label."""
     made, labels = assembled(stratified(df, group, label, folds), columns, label)
