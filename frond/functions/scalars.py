@@ -123,3 +123,31 @@ def top_two(values: Column, names: Column) -> Column:
     """The names of the two largest entries, in order of the values, ties in order of place."""
     rows = F.zip_with(F.zip_with(values, F.sequence(F.lit(1), F.size(values)), lambda v, i: F.struct((-v).alias("v"), i.alias("i"))), names, lambda r, n: F.struct(r["v"].alias("v"), r["i"].alias("i"), n.alias("n")))
     return F.transform(F.slice(F.array_sort(rows), 1, 2), lambda r: r["n"])
+
+
+def top_two_with(values: Column, names: Column) -> Column:
+    """What ``top_two`` names, with the values: label, p, label_2, p_2; the second is null where there is one entry."""
+    rows = F.zip_with(F.zip_with(values, F.sequence(F.lit(1), F.size(values)), lambda v, i: F.struct((-v).alias("v"), i.alias("i"))), names, lambda r, n: F.struct(r["v"].alias("v"), r["i"].alias("i"), n.alias("n")))
+    two = F.array_sort(rows)
+    of = lambda k: F.get(two, F.lit(k))
+    return F.struct(of(0)["n"].alias("label"), (-of(0)["v"]).alias("p"), of(1)["n"].alias("label_2"), (-of(1)["v"]).alias("p_2"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    """The dot product of two arrays of one length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def linspace(low: Column, high: Column, n: int) -> Column:
+    """``n`` values at even distances from low to high; the last one is high itself."""
+    step = (high - low) / max(n - 1, 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when((i == n - 1) & F.lit(n > 1), high.cast("double")).otherwise(low + i * step))
+
+
+def polar(y: Column, x: Column, cy: Column, cx: Column, reach: Column) -> Column:
+    """radius (over ``reach``) and angle in radians of a place around a centre."""
+    return F.struct((F.hypot(y - cy, x - cx) / (reach + 1e-6)).alias("radius"), F.atan2(y - cy, x - cx).alias("angle"))

@@ -41,6 +41,35 @@ def without_prefixes(df: DataFrame, *prefixes: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(prefixes)])
 
 
+# Columns that say what others say, columns without signal, and sub-scores without weight.
+REDUNDANT_COLOUR = tuple(f"colour_{channel}_{statistic}" for channel in ("hsv_v", "bgr_g", "bgr_r") for statistic in ("median", "iqr", "q25", "q75", "skew", "kurt"))
+DEAD_FEATURES = (
+    "boundary_notch_density", "deform_specular_pct", "deform_specular_blob_density", "deform_width_profile_roughness", "deform_luminance_std",
+    "miner_trail_length_norm", "miner_trail_coverage_pct", "miner_trail_mean_tortuosity", "miner_trail_count", "ldsi_miner_sub",
+)
+ZERO_WEIGHT = ("worst_deform_luminance_std", "worst_spot_area_ratio", "worst_spot_density_per_1000px")
+
+
+def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The table without those of ``names`` that it has, such as one of the sets above."""
+    return df.drop(*[f for f in df.columns if f in set(names)])
+
+
+def sample_id(leaf: Column, variant: Column) -> Column:
+    """The key of a leaf's variant; null if either is."""
+    return F.concat(leaf.cast("string"), F.lit("__v"), variant.cast("int").cast("string"))
+
+
+def image_key(species: Column, view: Column, path: Column) -> Column:
+    """species_view_file of an image, by the last part of its path."""
+    return F.concat(species.cast("string"), F.lit("_"), view, F.lit("_"), F.regexp_extract(path, r"([^/\\]*)$", 1))
+
+
+def leaf_key(species: Column, level: Column, path: Column) -> Column:
+    """species__level__stem of an image: its file's name without the last extension."""
+    return F.concat(species, F.lit("__"), level, F.lit("__"), F.regexp_extract(path, r"([^/\\]+?)(\.[^./\\]*)?$", 1))
+
+
 def with_default(df: DataFrame, name: str, value) -> DataFrame:
     """A constant column if the table hasn't one of that name."""
     return df if name in df.columns else df.withColumn(name, F.lit(value))

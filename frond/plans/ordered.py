@@ -124,12 +124,20 @@ def cumulative_share(spark, sf_dir):
 
 @query(
     "path_resample",
-    None,
+    _DAILY
+    + """, s AS (SELECT event_type, h, h::DOUBLE AS x, n AS y FROM d),
+g AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS st FROM s WINDOW w AS (PARTITION BY event_type ORDER BY h)),
+c AS (SELECT *, sum(st) OVER (PARTITION BY event_type ORDER BY h) AS a FROM g),
+l AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(a) OVER w AS b, max(a) OVER (PARTITION BY event_type) AS whole FROM c WINDOW w AS (PARTITION BY event_type ORDER BY h)),
+i AS (SELECT unnest(range(0, 50)) AS i)
+SELECT event_type, i::INT AS i, round(x + (x2 - x) * (i * whole / 49 - a) / (b - a), 6) + 0 AS x, round(y + (y2 - y) * (i * whole / 49 - a) / (b - a), 6) + 0 AS y FROM l, i
+WHERE b > a AND i >= ceil(a / (whole / 49) - 1e-9) AND i <= CASE WHEN b >= whole THEN 49 ELSE ceil(b / (whole / 49) - 1e-9) - 1 END""",
 )
 def path_resample(spark, sf_dir):
     """Fifty points at even distances along each event type's hourly curve."""
     curve = _hourly(spark, sf_dir).select("event_type", F.col("h").alias("place"), F.col("h").cast("double").alias("x"), F.col("n").alias("y"))
-    return windows.resampled(curve, ["event_type"], "place", "x", "y", 50)
+    found = windows.resampled(curve, ["event_type"], "place", "x", "y", 50)
+    return found.select("event_type", "i", *[(F.round(c, 6) + 0.0).alias(c) for c in ("x", "y")])
 
 
 @query(

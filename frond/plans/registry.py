@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from frond.plans import evaluation, images, index, inference, models, ordered, relational, series, shapes, sinks, sketches, statistics, streams, tissue, training  # noqa: E402, F401
+from frond.plans import evaluation, images, index, inference, models, ordered, relational, reports, scalars, series, shapes, sinks, sketches, statistics, streams, tissue, training  # noqa: E402, F401
