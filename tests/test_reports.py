@@ -101,10 +101,10 @@ def test_small_formulas(spark):
 
 
 def test_keys_and_column_sets(spark):
-    df = spark.createDataFrame([("beli", 2, r"dataset\health\beli\image_01.tar.jpg"), ("x", None, "noext"), ("y", 3, "a/.hidden")], "s string, v int, path string")
+    df = spark.createDataFrame([("fern", 2, r"data\leaves\fern\image_01.tar.jpg"), ("x", None, "noext"), ("y", 3, "a/.hidden")], "s string, v int, path string")
     s, v, p = F.col("s"), F.col("v"), F.col("path")
     got = [tuple(r) for r in df.select(project.sample_id(s, v), project.image_key(s, F.lit("top"), p), project.leaf_key(s, F.lit("low"), p)).collect()]
-    assert got == [("beli__v2", "beli_top_image_01.tar.jpg", "beli__low__image_01.tar"), (None, "x_top_noext", "x__low__noext"), ("y__v3", "y_top_.hidden", "y__low__.hidden")]
+    assert got == [("fern__v2", "fern_top_image_01.tar.jpg", "fern__low__image_01.tar"), (None, "x_top_noext", "x__low__noext"), ("y__v3", "y_top_.hidden", "y__low__.hidden")]
     assert len(set(project.REDUNDANT_COLOUR)) == 18 and len(project.DEAD_FEATURES) == 10 and len(project.ZERO_WEIGHT) == 3
     wide = spark.createDataFrame([(1, 2, 3)], ["colour_hsv_v_median", "colour_lab_l_median", "ldsi_miner_sub"])
     assert project.without(wide, project.REDUNDANT_COLOUR).columns == ["colour_lab_l_median", "ldsi_miner_sub"]
