@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from frond.functions.colour import lab, saturation
 from frond.operators import components
 from frond.operators.joins import bounded_broadcast
+from frond.operators.state import Tables
 
 SENTINEL = -1.0
 
@@ -30,9 +31,13 @@ CHANNELS = ("lightness", "a", "b")
 
 
 def coloured(px: DataFrame) -> DataFrame:
-    """Adds lightness, a, b, saturation and excess (green) to pixels with bytes r, g, b_ (blue)."""
+    """Adds lightness, a, b, saturation and excess (green) to pixels with bytes r, g, b_ (blue).
+
+    Written as a table: every rule filters by these columns, and a filter that is pushed below a computed column computes it
+    anew, with each of its parts as often as the expression names them.
+    """
     r, g, b = (F.col(c).cast("double") for c in ("r", "g", "b_"))
-    return px.withColumns(lab(r, g, b) | {"saturation": saturation(r, g, b), "excess": 2 * g - r - b})
+    return Tables(px.sparkSession).put(px.withColumns(lab(r, g, b) | {"saturation": saturation(r, g, b), "excess": 2 * g - r - b}), "coloured")
 
 
 def opened(px: DataFrame, key: str, inside: Column) -> DataFrame:
@@ -52,22 +57,29 @@ def _cleaned(px: DataFrame, key: str, inside: Column, opening: bool, least: int)
     return mask
 
 
-def seed(px: DataFrame, key: str, opening: bool = True, least: int = 1) -> DataFrame:
-    """Sure tissue of ``coloured`` pixels: (key, y, x, relaxed). Where it covers less than SEED_COVERAGE percent of an image, the
-    relaxed rule decides that image. ``opening`` and ``least`` (pixels of a component) clean either mask first."""
+def seed(px: DataFrame, key: str, opening: bool = True, least: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sure tissue of ``coloured`` pixels: (key, y, x, relaxed) and ``keep`` of their columns. Where it covers less than SEED_COVERAGE
+    percent of an image, the relaxed rule decides that image. ``opening`` and ``least`` (pixels of a component) clean either mask
+    first; without them a pixel is decided where it is read, and only the images' shares are joined."""
     rule = lambda t: (F.col("excess") > t[0]) & (F.col("saturation") > t[1]) & (F.col("lightness") < t[2])
+    low = lambda n, area: 100 * F.coalesce(n, F.lit(0)) / area < SEED_COVERAGE
+    if not opening and least <= 1:
+        relaxed = px.groupBy(key).agg(low(F.count_if(rule(SEED)), F.count("*")).alias("relaxed"))
+        told = px.join(bounded_broadcast(relaxed), key, "left").withColumn("relaxed", F.coalesce("relaxed", F.lit(False)))
+        return told.filter(F.when(F.col("relaxed"), rule(SEED_RELAXED)).otherwise(rule(SEED))).select(key, "y", "x", "relaxed", *keep)
     strict = _cleaned(px, key, rule(SEED), opening, least)
     area = px.groupBy(key).agg(F.count("*").alias("_area"))
     covered = area.join(strict.groupBy(key).agg(F.count("*").alias("_n")), key, "left")
-    weak = covered.filter(100 * F.coalesce("_n", F.lit(0)) / F.col("_area") < SEED_COVERAGE).select(key)
+    weak = bounded_broadcast(covered.filter(low(F.col("_n"), F.col("_area"))).select(key))
     loose = _cleaned(px.join(weak, key, "left_semi"), key, rule(SEED_RELAXED), opening, least)
-    return strict.join(weak, key, "left_anti").withColumn("relaxed", F.lit(False)).unionByName(loose.withColumn("relaxed", F.lit(True)))
+    mask = strict.join(weak, key, "left_anti").withColumn("relaxed", F.lit(False)).unionByName(loose.withColumn("relaxed", F.lit(True)))
+    return mask.join(px.select(key, "y", "x", *keep), [key, "y", "x"]) if keep else mask
 
 
 def colour_model(px: DataFrame, key: str, mask: DataFrame) -> DataFrame:
     """For each image: n (pixels of ``mask``) and mean_ and std_ of each channel over them, the deviations MODEL_FLOOR at least;
-    fixed means and deviations where n is below MODEL_LEAST."""
-    inside = px.join(mask.select(key, "y", "x"), [key, "y", "x"], "left_semi")
+    fixed means and deviations where n is below MODEL_LEAST. A mask that kept the channels isn't joined with the pixels."""
+    inside = mask if set(CHANNELS) <= set(mask.columns) else px.join(mask.select(key, "y", "x"), [key, "y", "x"], "left_semi")
     stats = inside.groupBy(key).agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in CHANNELS for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
     every = px.select(key).distinct().join(stats, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     enough = F.col("n") >= MODEL_LEAST

@@ -104,3 +104,15 @@ def test_damage_against_the_leafs_own_green(spark):
     assert rows[1].pct_necrotic == pytest.approx(100 * own.count("necrotic") / len(own)) and rows[1].pct_healthy == pytest.approx(100 * (own.count("healthy") + own.count("specular")) / len(own))
     a = [r.a for r in inside.filter("img = 1").collect()]
     assert (rows[1].a_median, rows[1].a_iqr) == (np.median(a), np.subtract(*np.percentile(a, [75, 25]))) and set(rows[3].asDict().values()) == {3, -1.0}
+
+
+def test_rules_read_colours_once(spark):
+    px = table(spark, {1: leaf(GREEN), 2: leaf((150, 162, 150)), 3: leaf(PAPER)})
+    plain, kept = tissue.seed(px, "img", opening=False), tissue.seed(px, "img", opening=False, keep=tissue.CHANNELS)
+    for found in (tissue.seed(px, "img"), plain, kept):
+        plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "cbrt" not in plan and "power" not in plan  # no filter computes a colour anew
+    places = lambda df: sorted((r.img, r.y, r.x, r.relaxed) for r in df.collect())
+    assert places(plain) == places(kept) == places(tissue.seed(px, "img", opening=True, keep=tissue.CHANNELS))  # squares are open already
+    models = [sorted(map(tuple, tissue.colour_model(px, "img", m).collect())) for m in (plain, kept)]
+    assert models[0] == models[1]
