@@ -50,7 +50,7 @@ WHERE greatest(abs(l - ml) / sl, abs(a - ma) / sa, abs(b - mb) / sb) < 2.5 AND s
 def tissue_candidates(spark, sf_dir):
     """The learned colour of each image's seed, and the pixels near it."""
     px = pixels(spark, sf_dir)
-    model = tissue.colour_model(px, "label", tissue.seed(px, "label", opening=False))
+    model = tissue.colour_model(px, "label", tissue.seed(px, "label", opening=False, keep=tissue.CHANNELS))
     found = tissue.candidates(px, "label", model).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("lightness"), 6).alias("lightness"))
     return found.join(model.select("label", F.col("n").alias("n_seed"), F.round("mean_lightness", 6).alias("mean_l"), F.round("std_b", 6).alias("std_b")), "label")
 
