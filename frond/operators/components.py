@@ -3,7 +3,12 @@
 Components are found by hooking and pointer jumping over tables: every node has a parent; in each round nodes and their
 parents take the smallest grandparent among their neighbours, and everyone moves up to its own grandparent. The rounds grow
 with the logarithm of a component's extent. Each round's parents are written as a table, which cuts the lineage. A parent with
-a large share of all nodes is looked up by a broadcast of such parents only, of which there are fewer than 1 / HOT_SHARE.
+a large share of all nodes is looked up by a broadcast of such parents only, of which there are fewer than 1 / HOT_SHARE. All
+other joins are hinted to be sorted ones: a table of numbers is some twenty times smaller as a file, by whose size Spark would
+send it whole through the driver.
+
+Pixels are labelled in square tiles first, each tile in one row and all tiles of a batch at once; only pixels on the border of
+two tiles give edges, and the loop runs over components of tiles that such edges join, if there are any.
 """
 
 from __future__ import annotations
@@ -11,10 +16,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frond.operators.joins import neighbour_edges
 from frond.operators.state import Tables
 
 HOT_SHARE, HOT_LEAST = 1 / 2000, 100_000
@@ -32,15 +38,15 @@ def connected(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     known = tables.put(nodes.filter("node is not null").select(*keys, "node").distinct(), "nodes")
     total = known.count()
     both = edges.select(*keys, F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select(*keys, "e.u", "e.v")
-    there = lambda name: known.withColumnRenamed("node", name)
+    there = lambda name: known.withColumnRenamed("node", name).hint("merge")
     links = tables.put(both.filter("u <> v").distinct().join(there("u"), [*keys, "u"], "left_semi").join(there("v"), [*keys, "v"], "left_semi"), "links")
     parents = tables.put(known.withColumn("parent", F.col("node")), "parents-0")
     turn, limit, before = 0, max(HOT_LEAST, int(total * HOT_SHARE)), None
     while True:
         turn += 1
         up = tables.put(_with_grandparents(parents, keys, limit), f"up-{turn}")
-        near = links.join(up.select(*keys, F.col("node").alias("v"), "grand"), [*keys, "v"]).groupBy(*keys, F.col("u").alias("node")).agg(F.min("grand").alias("least"))
-        met = up.join(near, [*keys, "node"], "left")
+        near = links.join(up.select(*keys, F.col("node").alias("v"), "grand").hint("merge"), [*keys, "v"]).groupBy(*keys, F.col("u").alias("node")).agg(F.min("grand").alias("least"))
+        met = up.join(near.hint("merge"), [*keys, "node"], "left")
         # a node, and its parent, take the least grandparent beside it
         offers = met.select(*keys, F.explode(F.array(F.struct("node", F.least("grand", "least").alias("parent")), F.struct(F.col("parent").alias("node"), F.least("grand", "least").alias("parent")))).alias("o")).select(*keys, "o.*")
         after = tables.put(offers.groupBy(*keys, "node").agg(F.min("parent").alias("parent")), f"parents-{turn}")
@@ -60,20 +66,78 @@ def _with_grandparents(parents: DataFrame, keys: list[str], limit: int) -> DataF
     by = [*keys, "parent"]
     hot = parents.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).drop("_n")
     few = F.broadcast(of.join(F.broadcast(hot), by))
-    return parents.join(few, by).unionByName(parents.join(F.broadcast(hot), by, "left_anti").join(of, by))
+    return parents.join(few, by).unionByName(parents.join(F.broadcast(hot), by, "left_anti").join(of.hint("merge"), by))
 
 
 #: Pixels of a row that a place number holds.
 WIDTH = 1 << 20
+#: Side of the square tiles that are labelled at once, and how many pixels of them together.
+TILE, AT_ONCE = 32, 200_000
+AHEAD = ((0, 1), (1, -1), (1, 0), (1, 1))
+
+
+def tile_roots(tiles: list[np.ndarray]) -> list[np.ndarray]:
+    """For each tile's cells (y * TILE + x inside the tile, in any order) the smallest cell of their 8-connected component."""
+    wide = TILE + 1  # a column that is always empty, so that no row runs into the next
+    cell = np.concatenate([np.asarray(t, dtype=np.int64) for t in tiles]) if tiles else np.zeros(0, dtype=np.int64)
+    ends = np.cumsum([len(t) for t in tiles])
+    which = np.repeat(np.arange(len(tiles)), [len(t) for t in tiles])
+    known, back = np.unique(which * wide * wide + cell // TILE * wide + cell % TILE, return_inverse=True)
+    pairs = []
+    for i, j in AHEAD:
+        at = np.searchsorted(known, known + i * wide + j)
+        met = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == known + i * wide + j)
+        pairs.append((met, at[met]))
+    a, b = (np.concatenate(side) for side in zip(*pairs))
+    root = np.arange(len(known))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    found = known[root][back] % (wide * wide)
+    return np.split(found // wide * TILE + found % wide, ends[:-1]) if tiles else []
+
+
+def _tile_roots(cells: pd.Series) -> pd.Series:
+    out, part, held = [], [], 0
+    for tile in cells:
+        part.append(tile)
+        held += len(tile)
+        if held >= AT_ONCE:
+            out += tile_roots(part)
+            part, held = [], 0
+    return pd.Series(out + tile_roots(part), index=cells.index)
 
 
 def labelled(px: DataFrame, key: str) -> DataFrame:
     """``px`` (key, y, x and more) with ``component``: the number (y * WIDTH + x) of the first pixel, in reading order, of the
-    8-connected component that the pixel belongs to."""
-    place = F.col("y").cast("long") * WIDTH + F.col("x")
-    edges = neighbour_edges(px.select(key, "y", "x").distinct(), key).select(key, place.alias("a"), (F.col("y2").cast("long") * WIDTH + F.col("x2")).alias("b"))
-    found = connected(px.select(key, place.alias("node")), edges, [key])
-    return px.withColumn("node", place).join(found, [key, "node"]).drop("node")
+    8-connected component that the pixel belongs to. Pixels without key or place are left out."""
+    tables = Tables(px.sparkSession)
+    tile = lambda c: F.floor(F.col(c) / TILE)
+    rest = [c for c in px.columns if c != key]
+    known = px.filter(F.col(key).isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull())
+    tiles = known.groupBy(key, tile("y").alias("_ty"), tile("x").alias("_tx")).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    cells = F.transform("_rows", lambda r: (F.pmod(r["y"], F.lit(TILE)) * TILE + F.pmod(r["x"], F.lit(TILE))).cast("int"))
+    each = tiles.withColumn("_roots", F.pandas_udf(_tile_roots, "array<int>")(cells)).select(key, "_ty", "_tx", F.explode(F.arrays_zip("_rows", "_roots")).alias("e"))
+    first = (F.col("_ty") * TILE + F.floor(F.col("e._roots") / TILE)) * WIDTH + F.col("_tx") * TILE + F.col("e._roots") % TILE
+    parts = tables.put(each.select(key, *[F.col(f"e._rows.{c}").alias(c) for c in rest], first.cast("long").alias("component")), "parts").select(*px.columns, "component")
+
+    def on_border(c: str) -> Column:
+        return F.pmod(F.col(c), F.lit(TILE)).isin(0, TILE - 1)
+
+    border = parts.filter(on_border("y") | on_border("x")).select(key, "y", "x", "component").distinct()
+    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AHEAD]))
+    ends = border.select(key, (tile("y") * WIDTH + tile("x")).alias("_from"), F.col("component").alias("a"), "y", "x", shift.alias("s"))
+    ends = ends.select(key, "_from", "a", (F.col("y") + F.col("s.i")).alias("y"), (F.col("x") + F.col("s.j")).alias("x")).filter(F.col("_from") != tile("y") * WIDTH + tile("x"))
+    edges = tables.put(ends.join(border.withColumnRenamed("component", "b").hint("merge"), [key, "y", "x"]).select(key, "a", "b").distinct(), "edges")
+    if edges.isEmpty():
+        return parts
+    nodes = edges.select(key, F.explode(F.array("a", "b")).alias("node"))
+    moved = connected(nodes, edges, [key]).filter("component <> node").select(key, F.col("node").alias("component"), F.col("component").alias("_to"))
+    return parts.join(moved.hint("merge"), [key, "component"], "left").withColumn("component", F.coalesce("_to", "component")).select(*px.columns, "component")
 
 
 def blobs(px: DataFrame, key: str) -> DataFrame:

@@ -182,3 +182,26 @@ def test_roughness_of_rotated_shapes(spark):
     assert got[10] == got[11] == -1.0
     for k in range(5):
         assert got[k] == pytest.approx(plain_roughness(shapes[k], 20, 50, 5, 8), rel=1e-6) and got[k] > 0
+
+
+def test_tiles_join_and_little_reaches_the_driver(spark, monkeypatch):
+    wide = {(y, x) for y in range(70) for x in range(70) if y in (31, 64) or x == 66 or (y + 2 * x) % 7 == 0 and (x * y) % 3}
+    images = {1: wide, 2: {(31, 31), (32, 32), (32, 30), (0, 0)}, 3: {(-1, -1), (0, 0), (0, 5)}}
+    rows = [(k, y, x, float(y)) for k, img in images.items() for y, x in img]
+    px = spark.createDataFrame([*rows, rows[0], (None, 1, 1, 0.0), (2, None, 1, 0.0)], "img long, y int, x int, v double")
+    found = components.labelled(px, "img").collect()
+    assert sorted((r.img, r.y, r.x, r.v) for r in found) == sorted([*rows, rows[0]])
+    for k, img in images.items():
+        left, want = set(img), {}
+        while left:
+            part, new = set(), {min(left)}
+            while new:
+                part |= new
+                new = {(y + i, x + j) for y, x in new for i in (-1, 0, 1) for j in (-1, 0, 1)} & left - part
+            want |= dict.fromkeys(part, min(y * components.WIDTH + x for y, x in part))
+            left -= part
+        assert {(r.y, r.x): r.component for r in found if r.img == k} == want
+    # small images need no round of the loop, and no table of pixels is sent whole through the driver
+    monkeypatch.setattr(components, "connected", None)
+    small = components.labelled(spark.range(200).selectExpr("id as img", "explode(sequence(0, 63)) as p").selectExpr("img", "p div 8 as y", "p % 8 as x").filter("(img + y * x) % 3 > 0"), "img")
+    assert "Join" not in small._jdf.queryExecution().optimizedPlan().toString()
