@@ -175,10 +175,11 @@ def enclosed_fraction(px: DataFrame, key: str, mask: Column, vein: Column, least
     flat = px.select(key, "y", "x", F.coalesce(mask, F.lit(False)).alias("_mask"), F.coalesce(vein, F.lit(False)).alias("_vein"))
     parts = labelled(flat.filter("_mask and not _vein"), key)
     reached = dilated(flat.filter("not _mask"), key, square(1))
-    touching = parts.join(reached, [key, "y", "x"], "left_semi").select(key, "component").distinct()
-    inside = parts.join(touching, [key, "component"], "left_anti").groupBy(key).agg(F.count("*").alias("_inside"))
+    # hinted: as files or shuffled these are far smaller than as a broadcast
+    touching = parts.join(reached.hint("merge"), [key, "y", "x"], "left_semi").select(key, "component").distinct()
+    inside = parts.join(touching.hint("merge"), [key, "component"], "left_anti").groupBy(key).agg(F.count("*").alias("_inside"))
     sizes = flat.groupBy(key).agg(F.count_if(F.col("_mask")).alias("_area"), F.count_if(F.col("_mask") & ~F.col("_vein")).alias("lamina"))
-    told = sizes.join(inside, key, "left").withColumn("enclosed", F.coalesce("_inside", F.lit(0)))
+    told = sizes.join(inside.hint("merge"), key, "left").withColumn("enclosed", F.coalesce("_inside", F.lit(0)))
     return told.select(key, "lamina", "enclosed", F.when((F.col("_area") < least) | (F.col("lamina") == 0), F.lit(SENTINEL)).otherwise(F.try_divide(F.col("enclosed"), F.col("lamina"))).alias("fraction"))
 
 

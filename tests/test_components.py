@@ -205,3 +205,10 @@ def test_tiles_join_and_little_reaches_the_driver(spark, monkeypatch):
     monkeypatch.setattr(components, "connected", None)
     small = components.labelled(spark.range(200).selectExpr("id as img", "explode(sequence(0, 63)) as p").selectExpr("img", "p div 8 as y", "p % 8 as x").filter("(img + y * x) % 3 > 0"), "img")
     assert "Join" not in small._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_enclosed_fraction_broadcasts_nothing(spark):
+    px = spark.range(300).selectExpr("id as img", "explode(sequence(0, 63)) as p").selectExpr("img", "p div 8 as y", "p % 8 as x", "(img * 7 + p * p) % 11 as v")
+    found = components.enclosed_fraction(px, "img", F.col("v") > 2, F.col("v") > 8, 10)
+    assert len(found.collect()) == 300
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
