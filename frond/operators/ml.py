@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 from frond.operators.folds import stratified
 
+#: Classes that one-against-rest models fit side by side: their jobs are short, and one after another they leave the cluster idle.
+AT_ONCE = 5
+
 
 def assembled(df: DataFrame, columns: list[str], label: str, labels: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """features (a scaled vector) and y (the label's place in alphabetical order), and the labels in that order."""
@@ -39,12 +43,16 @@ def fourier(df: DataFrame, columns: list[str], gamma: float, size: int, seed: in
     b = rng.uniform(0, 2 * np.pi, size)
     x = F.array(*[F.col(c).cast("double") for c in columns])
 
-    def feature(j: int) -> Column:
-        s = F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in w[:, j]]), lambda p, q: p * q), F.lit(float(b[j])), lambda a, v: a + v)
-        return F.cos(s) * F.lit(float(np.sqrt(2 / size)))
+    def run(rows: pd.Series) -> pd.Series:
+        m = np.array(rows.to_list(), dtype=float).reshape(len(rows), len(columns))
+        s = np.tile(b, (len(rows), 1))
+        for k in range(len(columns)):  # one column after another, so that sums are rounded as if made row by row
+            s += m[:, k : k + 1] * w[k]
+        return pd.Series(list(s), index=rows.index)
 
     names = [f"rff_{j}" for j in range(size)]
-    return df.withColumns({n: feature(j) for j, n in enumerate(names)}), names
+    told = df.withColumn("_x", x).withColumn("_s", F.when(~F.exists("_x", lambda v: v.isNull()), F.pandas_udf(run, "array<double>")("_x")))
+    return told.select(*df.columns, *[(F.cos(F.get("_s", F.lit(j))) * F.lit(float(np.sqrt(2 / size)))).alias(n) for j, n in enumerate(names)]), names
 
 
 def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 10) -> DataFrame:
@@ -81,11 +89,11 @@ def forest(trees: int = 60, depth: int = 8, seed: int = 42) -> Pipeline:
 
 
 def boosted(rounds: int = 10, depth: int = 3, seed: int = 42) -> Pipeline:
-    return Pipeline(stages=[scaler(), OneVsRest(labelCol="y", classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed))])
+    return Pipeline(stages=[scaler(), OneVsRest(labelCol="y", parallelism=AT_ONCE, classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed))])
 
 
 def margins(regularisation: float = 0.01, rounds: int = 50) -> Pipeline:
-    return Pipeline(stages=[scaler(), OneVsRest(labelCol="y", classifier=LinearSVC(maxIter=rounds, regParam=regularisation))])
+    return Pipeline(stages=[scaler(), OneVsRest(labelCol="y", parallelism=AT_ONCE, classifier=LinearSVC(maxIter=rounds, regParam=regularisation))])
 
 
 def linear(regularisation: float = 0.01, rounds: int = 60) -> Pipeline:
