@@ -38,8 +38,10 @@ QUARTERS = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 
 
 def _quartiles(long: DataFrame, groups: list[str]) -> DataFrame:
-    """n, q1, q2, q3 of ``value`` for each group, exact, with large groups spread over tasks."""
-    return quantiles(ranked(value_counts(long, groups, "value"), groups, "value"), groups, "value", QUARTERS)
+    """n, q1, q2, q3 of ``value`` for each group, exact, with large groups spread over tasks. The counts are read three times, so
+    they are written."""
+    counts = Tables(long.sparkSession).put(value_counts(long, groups, "value"), "counts")
+    return quantiles(ranked(counts, groups, "value"), groups, "value", QUARTERS)
 
 
 def long_values(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -51,7 +53,10 @@ def long_values(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
 def baselines(long: DataFrame, group: str, healthy: Column, by: list[str] = []) -> DataFrame:  # noqa: B006
     """(by, group, feature, n, median, iqr) over the healthy rows of a long table: both null below three rows or without spread."""
     keys = [*by, group, "feature"]
-    q = _quartiles(long.filter(healthy), keys)
+    return _usable(_quartiles(long.filter(healthy), keys), keys)
+
+
+def _usable(q: DataFrame, keys: list[str]) -> DataFrame:
     ok = (F.col("n") >= BASELINE_LEAST) & (F.col("q3") - F.col("q1") > BASELINE_SPREAD)
     return q.select(*keys, "n", F.when(ok, F.col("q2")).alias("median"), F.when(ok, F.col("q3") - F.col("q1")).alias("iqr"))
 
@@ -62,7 +67,11 @@ def fold_baselines(long: DataFrame, group: str, healthy: Column, n_folds: int) -
     ``long`` has a column ``fold``; a row is counted for each fold but its own, so no fold's rows touch their own baseline.
     """
     others = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda k: k != F.col("fold"))
-    return baselines(long.filter(healthy).withColumn("test_fold", F.explode(others)), group, F.lit(True), ["test_fold"])
+    keys = ["test_fold", group, "feature"]
+    # equal values of one fold are counted before the folds that they train multiply them
+    own = value_counts(long.filter(healthy), [group, "feature", "fold"], "value").withColumn("test_fold", F.explode(others))
+    counts = Tables(long.sparkSession).put(own.groupBy(*keys, "value").agg(F.sum("n").alias("n")), "counts")
+    return _usable(quantiles(ranked(counts, keys, "value"), keys, "value", QUARTERS), keys)
 
 
 def relative(df: DataFrame, columns: list[str], group: str, base: DataFrame, on: list[str]) -> DataFrame:
