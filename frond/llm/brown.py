@@ -21,6 +21,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,14 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frond.llm.common import given_back, modest_batches, saved, scratch, written
+from frond.llm.common import given_back, modest_batches, saved, scratch, tidy, written
 
 CORE, CLASSED, HOT, CLASSES = 1024, 20_000, 120_000, 32
 #: Weight of the class frequencies in a transition, in observations.
 BETA = 5.0
 TURNS, WIDE_TURNS = 15, 2
-#: Words in a row of the table of places, and such rows that a task counts together.
-ROW_WORDS, ROWS = 8_000, 64
+#: Words in a row of the table of places, and such rows that a task counts together, into a table of all cells or by word.
+ROW_WORDS, SUM_ROWS, ROWS = 8_000, 16, 64
+#: Texts, and about as many words at most, that a task scores together; words whose neighbours it sends in a batch.
+TEXTS, TEXT_WORDS, SENT = 500, 200_000, 10_000
 #: The class of words seen once or never, that of a text's end, and the first class of words beyond CLASSED.
 OTHERS, STOP, TAIL = CLASSES, CLASSES + 1, CLASSES + 2
 TOTAL = TAIL + CLASSES
@@ -53,8 +56,14 @@ def _strings(words: list[bytes | None]) -> pa.Array:
     return pa.array(words, pa.binary()).cast(pa.string())
 
 
+def _placed(words: list[bytes], get, limit: int) -> tuple[np.ndarray, list[bytes]]:
+    """The places of a text's words, ``limit`` for those without one, then limit + 1 for its end; and the words without one."""
+    x = np.array([*map(get, words, repeat(limit)), limit + 1], "<i4")
+    return x, [words[i] for i in np.flatnonzero(x == limit).tolist()]
+
+
 def word_counts(training: DataFrame) -> DataFrame:
-    """(word, c) over all training texts, saved."""
+    """(word, c) over all training texts, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -71,7 +80,7 @@ def word_counts(training: DataFrame) -> DataFrame:
                     seen.clear()
         yield out()
 
-    return saved(training.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    return written(training.select("text").mapInArrow(tidy(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
 
 
 def coded(training: DataFrame, shared, limit: int) -> DataFrame:
@@ -80,13 +89,14 @@ def coded(training: DataFrame, shared, limit: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
-        ids: list[int] = []
+        ids: list[np.ndarray] = []
         cold: list[bytes] = []
         done: list[bytes] = []
         offsets = [0]
+        held = 0
 
         def cut():
-            done.append(np.array(ids, "<i4").tobytes())
+            done.append(np.concatenate(ids).tobytes())
             offsets.append(len(cold))
             ids.clear()
 
@@ -99,38 +109,40 @@ def coded(training: DataFrame, shared, limit: int) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                words = words_of(text)
-                x = [get(w, limit) for w in words]
-                ids += x
-                ids.append(limit + 1)
-                cold += [w for w, i in zip(words, x) if i == limit]
-                if len(ids) >= ROW_WORDS:
+                x, without = _placed(words_of(text), get, limit)
+                ids.append(x)
+                cold += without
+                held += len(x)
+                if held >= ROW_WORDS:
                     cut()
+                    held = 0
                     if len(done) >= ROWS:
                         yield out()
         if ids:
             cut()
         yield out()
 
-    return written(training.select("text").mapInArrow(run, "ids binary, cold array<string>"))
+    return written(training.select("text").mapInArrow(tidy(run), "ids binary, cold array<string>"))
 
 
-def _places(row: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(row.as_buffer(), "<i4").astype(np.int64)
+def _places(rows: pa.Array) -> np.ndarray:
+    """The places of all rows; each ends with a text's end."""
+    return np.concatenate([np.frombuffer(row.as_buffer(), "<i4") for row in rows]).astype(np.int64)
 
 
-def _summed(places: DataFrame, cells: int, fill) -> np.ndarray:
-    """A table of a fixed number of cells, summed over the table of places; fill(table, ids) adds a row's counts."""
+def _summed(places: DataFrame, cells: int, found) -> np.ndarray:
+    """A table of a fixed number of cells, summed over the table of places; found(ids) gives the cells in which places count,
+    and is called for SUM_ROWS rows at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(cells, np.int64)
         for batch in batches:
-            for row in batch.column(0):
-                fill(table, _places(row))
+            for start in range(0, batch.num_rows, SUM_ROWS):
+                table += np.bincount(found(_places(batch.column(0).slice(start, SUM_ROWS))), minlength=cells)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["cell", "n"])
 
-    rows = places.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = places.select("ids").mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(cells, np.int64)
     table[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     del rows
@@ -198,13 +210,13 @@ def beside_classed(places: DataFrame, where: np.ndarray, classed: int) -> tuple[
     """For each of the first ``classed`` words how often every class stands before it and after it, and how often it follows
     itself. ``where`` has the class of every place."""
 
-    def fill(table: np.ndarray, x: np.ndarray) -> None:
+    def found(x: np.ndarray) -> np.ndarray:
         k = where[x]
         at = np.flatnonzero(x < classed)  # never the last of a row, which is a text's end
         before = np.concatenate([[STOP], k[:-1]])[at]
-        _add(table, np.concatenate([before * classed + x[at], (TAIL + k[at + 1]) * classed + x[at], 2 * TAIL * classed + x[at][x[at + 1] == x[at]]]))
+        return np.concatenate([before * classed + x[at], (TAIL + k[at + 1]) * classed + x[at], 2 * TAIL * classed + x[at][x[at + 1] == x[at]]])
 
-    seen = _summed(places, (2 * TAIL + 1) * classed, fill).reshape(-1, classed).astype(float)
+    seen = _summed(places, (2 * TAIL + 1) * classed, found).reshape(-1, classed).astype(float)
     return seen[:TAIL].T, seen[TAIL : 2 * TAIL].T, seen[-1]
 
 
@@ -241,41 +253,53 @@ def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
 def neighbours(places: DataFrame, shared, where: np.ndarray) -> DataFrame:
     """(word, other, cells, cell, n), written: the class transitions (cell, n), for each word of the class OTHERS in ``where``
     the classes before it (c) and after it (TAIL + c), a byte each (cells), and how often one of them is followed by another
-    (other, n)."""
+    (other, n). A task counts what is beside the hot ones among these words and sends it once, at its end."""
     limit = len(where) - 2
+    hot_others = np.flatnonzero(where[:limit] == OTHERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = _strings([*shared.value, b"", b""])
         table = np.zeros(TAIL * TAIL, np.int64)
+        beside = np.zeros(len(hot_others) * 2 * TAIL, np.int32)
 
         def out(rows: int, **columns):
             kinds = {"word": pa.string(), "other": pa.string(), "cells": pa.binary(), "cell": pa.int64(), "n": pa.int64()}
             return pa.RecordBatch.from_arrays([pa.nulls(rows, k) if (x := columns.get(c)) is None else x if isinstance(x, pa.Array) else pa.array(x, k) for c, k in kinds.items()], list(kinds))
 
+        def packed(words: pa.Array, cells: np.ndarray, sizes: np.ndarray):
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            return out(len(words), word=words, cells=pa.Array.from_buffers(pa.binary(), len(words), [None, offsets.buffers()[1], pa.py_buffer(cells.astype(np.uint8).tobytes())]))
+
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                x = np.concatenate([_places(row) for row in part.column(0)])
+                x = _places(part.column(0))
                 k = where[x]
                 before = np.concatenate([[STOP], k[:-1]])
-                _add(table, before * TAIL + k)
+                table += np.bincount(before * TAIL + k, minlength=len(table))
                 cold = part.column(1).flatten().dictionary_encode()
                 names = pa.concat_arrays([hot, cold.dictionary])
                 x[x == limit] = limit + 2 + cold.indices.to_numpy(zero_copy_only=False)
-                at = np.flatnonzero(k == OTHERS)
+                every = np.flatnonzero(k == OTHERS)
+                at = every[x[every] < limit]
+                own = np.searchsorted(hot_others, x[at]) * 2 * TAIL
+                _add(beside, np.concatenate([own + before[at], own + TAIL + k[at + 1]]))
+                at = every[x[every] > limit]
                 of = np.argsort(x[at], kind="stable")
                 found, n = np.unique(x[at], return_counts=True)
-                cells = np.column_stack([before[at], TAIL + k[at + 1]])[of].astype(np.uint8).tobytes()
-                offsets = pa.array(np.concatenate([[0], 2 * np.cumsum(n)]), pa.int32())
-                packed = pa.Array.from_buffers(pa.binary(), len(found), [None, offsets.buffers()[1], pa.py_buffer(cells)])
-                yield out(len(found), word=names.take(pa.array(found)), cells=packed)
-                at = at[k[at + 1] == OTHERS]
+                yield packed(names.take(pa.array(found)), np.column_stack([before[at], TAIL + k[at + 1]])[of], 2 * n)
+                at = every[k[every + 1] == OTHERS]
                 found, n = np.unique(x[at] * len(names) + x[at + 1], return_counts=True)
                 yield out(len(found), word=names.take(pa.array(found // len(names))), other=names.take(pa.array(found % len(names))), n=n)
+        for start in range(0, len(hot_others), SENT):
+            own = beside[start * 2 * TAIL : (start + SENT) * 2 * TAIL].reshape(-1, 2 * TAIL)
+            sizes = own.sum(axis=1)
+            seen = np.flatnonzero(sizes)
+            yield packed(hot.take(pa.array(hot_others[start + seen])), np.repeat(np.tile(np.arange(2 * TAIL), len(own)), own.ravel()), sizes[seen])
         at = np.flatnonzero(table)
         yield out(len(at), cell=at, n=table[at])
 
-    return written(places.mapInArrow(run, "word string, other string, cells binary, cell long, n long"))
+    return written(places.mapInArrow(tidy(run), "word string, other string, cells binary, cell long, n long"))
 
 
 def _lift(pairs: np.ndarray) -> np.ndarray:
@@ -285,7 +309,7 @@ def _lift(pairs: np.ndarray) -> np.ndarray:
 
 
 def joined_to_classes(beside: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """(word, c, class, cell), saved: every word of ``beside`` (word, cells), its count and the class whose transitions
+    """(word, c, class, cell), written for good: every word of ``beside`` (word, cells), its count and the class whose transitions
     ``pairs`` explain the classes on both its sides best (TAIL + class), OTHERS for words seen once; and without a word, how
     often (c) a cell is beside the words of each such class.
 
@@ -325,7 +349,7 @@ def joined_to_classes(beside: DataFrame, pairs: np.ndarray) -> DataFrame:
         class_, cell = np.nonzero(moved)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(cell), pa.string()), pa.array(moved[class_, cell]), pa.array(TAIL + class_), pa.array(cell)], ["word", "c", "class", "cell"])
 
-    return saved(beside.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, c long, class long, cell long"))
+    return written(beside.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(run), "word string, c long, class long, cell long"), lasting=True)
 
 
 @dataclass
@@ -368,9 +392,9 @@ def _fit(training: DataFrame) -> Model:
     places = coded(training, shared, limit)
     size = core + 2
 
-    def core_bigrams(table: np.ndarray, ids: np.ndarray) -> None:
+    def core_bigrams(ids: np.ndarray) -> np.ndarray:
         x = np.where(ids > limit, core + 1, np.minimum(ids, core))
-        _add(table, np.concatenate([[core + 1], x[:-1]]) * size + x)
+        return np.concatenate([[core + 1], x[:-1]]) * size + x
 
     core_pairs = _summed(places, size * size, core_bigrams).reshape(size, size)
     where = np.full(limit + 2, OTHERS, np.int64)
@@ -433,49 +457,48 @@ def scored(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         index, base, where, emission, transition = shared.value
         limit, get = len(base), index.get
         # transitions of words that aren't hot are added later
-        where = np.append(where[:-1], TOTAL)
+        where = np.append(where[:-1], [TOTAL, STOP])
         transition = np.pad(transition, (0, 1))
+        base, emission = np.append(base, [0.0, 0.0]), np.append(emission, [0.0, 0.0])
+
+        def out(names: pa.Array, ids: list[np.ndarray], cold: list[bytes]) -> pa.RecordBatch:
+            x, sizes = np.concatenate(ids), np.array([len(i) for i in ids])
+            starts = np.cumsum(sizes) - sizes
+            k = where[x]
+            before = np.concatenate([[STOP], k[:-1]])
+            known = np.add.reduceat((x < limit).astype(np.int64), starts) + (end_count > 0)
+            columns = (sizes, known, np.add.reduceat(base[x], starts) + end_base, np.add.reduceat(emission[x] + transition[before, k], starts))
+            # what is beside words that aren't hot: a class before (cell), one after (TOTAL + cell), or another such word
+            words = _strings(cold).dictionary_encode()
+            w, most = words.indices.to_numpy(), max(1, len(words.dictionary))
+            at = np.flatnonzero(x == limit)
+            left, right = before[at], k[at + 1]
+            doc = np.repeat(np.arange(len(ids)), sizes)[at]
+            key = (doc * most + w) * (2 * TOTAL + most)
+            after = np.where(right == TOTAL, 2 * TOTAL + np.append(w[1:], 0), TOTAL + right) if len(at) else right
+            found, times = np.unique(np.concatenate([(key + left)[left != TOTAL], key + after]), return_counts=True)
+            (of, w), cell = np.divmod(found // (2 * TOTAL + most), most), found % (2 * TOTAL + most)
+            two = cell >= 2 * TOTAL
+            fields = [words.dictionary.take(pa.array(w)), words.dictionary.take(pa.array(cell - 2 * TOTAL, mask=~two)), pa.array(cell, mask=two), pa.array(times)]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(ids)))]), pa.int32())
+            edges = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["word", "other", "cell", "times"]))
+            return pa.RecordBatch.from_arrays([names, *map(pa.array, columns), edges], ["doc_id", "n_tokens", "hot_known", "hot_base", "hot_score", "rare"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out: list[list] = [[], [], [], []]
-                rare: tuple[list, list, list, list] = ([], [], [], [])
-                offsets = [0]
-                for text in part.column(1):
-                    words = words_of(text)
-                    x = np.array([get(w, limit) for w in words], np.int64)
-                    classes = np.concatenate([[STOP], where[x], [STOP]])
-                    hot = x[x < limit]
-                    if len(hot) < len(x):
-                        cold = np.flatnonzero(x == limit).tolist()
-                        beside: Counter = Counter()
-                        k = classes.tolist()
-                        for i in cold:
-                            if k[i] != TOTAL:
-                                beside[words[i], None, k[i]] += 1
-                            if k[i + 2] != TOTAL:
-                                beside[words[i], None, TOTAL + k[i + 2]] += 1
-                            else:
-                                beside[words[i], words[i + 1], None] += 1
-                        for (word, other, cell), n in beside.items():
-                            for column, value in zip(rare, (word, other, cell, n)):
-                                column.append(value)
-                    offsets.append(len(rare[0]))
-                    row = (
-                        len(x) + 1,
-                        len(hot) + (end_count > 0),
-                        float(base[hot].sum()) + end_base,
-                        float(emission[hot].sum() + transition[classes[:-1], classes[1:]].sum()),
-                    )
-                    for column, value in zip(out, row):
-                        column.append(value)
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                fields = [_strings(rare[0]), _strings(rare[1]), pa.array(rare[2], pa.int64()), pa.array(rare[3], pa.int64())]
-                edges = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["word", "other", "cell", "times"]))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, out, types), edges], ["doc_id", "n_tokens", "hot_known", "hot_base", "hot_score", "rare"])
+            ids: list[np.ndarray] = []
+            cold: list[bytes] = []
+            start = held = 0
+            for end, text in enumerate(batch.column(1), 1):
+                x, without = _placed(words_of(text), get, limit)
+                ids.append(x)
+                cold += without
+                held += len(x)
+                if len(ids) == TEXTS or held >= TEXT_WORDS or end == batch.num_rows:
+                    yield out(batch.column(0).slice(start, len(ids)), ids, cold)
+                    ids, cold, start, held = [], [], end, 0
 
     schema = "doc_id long, n_tokens long, hot_known long, hot_base double, hot_score double, rare array<struct<word: string, other: string, cell: long, times: long>>"
-    rows = saved(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    rows = saved(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), schema).withColumn("row", F.monotonically_increasing_id()))
     # a word that isn't hot is on few rows, so the joins' keys are even
     found = rows.select("row", F.inline("rare")).join(model.tail, "word", "left")
     found = found.withColumns({"c": F.coalesce("c", F.lit(0)), "class": F.coalesce("class", F.lit(OTHERS))})
