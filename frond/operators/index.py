@@ -63,18 +63,18 @@ def gram(df: DataFrame, columns: list[str], target: str) -> tuple[np.ndarray, np
 
 
 def non_negative_ridge(df: DataFrame, columns: list[str], target: str, alpha: float = 1.0, turns: int = 5000) -> dict[str, float]:
-    """Weights of a ridge regression without intercept and below no zero, that sum to one; equal weights if all are 0.
+    """Weights of a ridge regression without intercept and below no zero, that sum to one; equal weights if all are 0."""
+    return dict(zip(columns, ridge_weights(*gram(df, columns, target), alpha, turns).tolist()))
 
-    Coordinate descent on the Gram matrix, whose size is the number of columns squared.
-    """
-    g, t = gram(df, columns, target)
-    g = g + alpha * np.eye(len(columns))
-    w = np.zeros(len(columns))
+
+def ridge_weights(g: np.ndarray, t: np.ndarray, alpha: float = 1.0, turns: int = 5000) -> np.ndarray:
+    """The same from X'X and X'y: coordinate descent on the Gram matrix, whose size is the number of columns squared."""
+    g = g + alpha * np.eye(len(t))
+    w = np.zeros(len(t))
     for _ in range(turns):
         before = w.copy()
         for i in range(len(w)):
             w[i] = max(0.0, (t[i] - g[i] @ w + g[i, i] * w[i]) / g[i, i])
         if np.abs(w - before).max() < 1e-12:
             break
-    w = w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
-    return dict(zip(columns, w.tolist()))
+    return w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))

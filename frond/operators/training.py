@@ -254,39 +254,71 @@ def _normed(df: DataFrame, columns: list[str], group: str, norms: DataFrame, ove
     return met.withColumns(z).drop("_norm")
 
 
-def fit_index(df: DataFrame, columns: list[str], group: str, level: str, order: list[str], signs: bool = True) -> Index:
-    """Non-negative ridge weights of healthy (the first of ``order``) against all other levels.
+@dataclass
+class _Normed:
+    """What indices of some of ``columns`` share: norms, the rows (group, _healthy, _z_<column>), and X'X and X'y of their z-scores."""
 
-    Values are normed by their group's healthy median and IQR: those of all groups where a group has fewer than NORM_LEAST
-    healthy rows, and an IQR of NORM_FLOOR of the overall one at least. A group's sign for a feature may turn. Groups with
-    ANCHOR_LEAST rows and a healthy one have a scale of their own: from the healthy rows' median to the largest score.
-    Rows of other levels are an error.
-    """
+    columns: list[str]
+    norms: DataFrame
+    overall: dict[str, tuple[float, float]]
+    rows: DataFrame
+    gram: np.ndarray
+    target: np.ndarray
+    group: str
+    tables: Tables
+
+    def weights(self, columns: list[str]) -> dict[str, float]:
+        """The weights of an index of ``columns``: a column's norms and products are the same whatever others there are."""
+        at = [self.columns.index(c) for c in columns]
+        return dict(zip(columns, index.ridge_weights(self.gram[np.ix_(at, at)], self.target[at]).tolist()))
+
+    def anchored(self, weights: dict[str, float]) -> Index:
+        """The index of these weights with its scales."""
+        raw = self.rows.select(self.group, "_healthy", _raw(weights).alias("_raw"))
+        low, high = raw.agg(F.min("_raw"), F.max("_raw")).first()
+        middle = _quartiles(raw.filter("_healthy").select(self.group, F.col("_raw").alias("value")), [self.group]).select(self.group, F.col("q2").alias("_low"))
+        tops = raw.groupBy(self.group).agg(F.count("*").alias("_n"), F.max("_raw").alias("_high")).filter(F.col("_n") >= ANCHOR_LEAST).drop("_n")
+        norms = self.norms.filter(F.col("feature").isin([*weights]))
+        return Index([*weights], weights, norms, self.overall, self.tables.put(tops.join(middle, self.group), "anchors"), low, high, self.group)
+
+
+def _raw(weights: dict[str, float]) -> Column:
+    return sum((F.col(f"_z_{c}") * w for c, w in weights.items()), F.lit(0.0))
+
+
+def _norms(df: DataFrame, columns: list[str], group: str, level: str, order: list[str], signs: bool) -> _Normed:
     healthy = F.col(level) == order[0]
     if not df.filter(~F.coalesce(F.col(level).isin(order), F.lit(False))).isEmpty():
         raise ValueError(f"levels other than {', '.join(order)}")
-    long = long_values(df, [group, level], columns)
+    tables = Tables(df.sparkSession)
+    place = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(order) for x in (v, float(k))]), F.col(level))
+    long = tables.put(long_values(df, [group, level], columns).withColumn("_place", place), "long")
     overall = {r.feature: (r.q2, max(r.q3 - r.q1, 1e-6)) for r in _quartiles(long.filter(healthy), ["feature"]).collect()}  # a row a feature
     overall = {c: overall.get(c, (0.0, 1e-6)) for c in columns}
     of = lambda k: F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, overall[c][k])]), F.col("feature"))
     own, few = _quartiles(long.filter(healthy), [group, "feature"]), F.col("n") < NORM_LEAST
     norms = own.select(group, "feature", F.when(few, of(0)).otherwise(F.col("q2")).alias("median"), F.when(few, of(1)).otherwise(F.greatest(F.col("q3") - F.col("q1"), NORM_FLOOR * of(1), F.lit(1e-6))).alias("iqr"))
     if signs:
-        place = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(order) for x in (v, float(k))]), F.col(level))
-        turned = inference.sign_corrections(long.withColumn("_place", place), group, "feature", "_place", "value").select(group, "feature", "sign")
+        turned = inference.sign_corrections(long, group, "feature", "_place", "value").select(group, "feature", "sign")
         norms = norms.join(turned, [group, "feature"], "left")
     else:
         norms = norms.withColumn("sign", F.lit(1))
-    tables = Tables(df.sparkSession)
     norms = tables.put(norms, "norms")
-    z = tables.put(_normed(df, columns, group, norms, overall).withColumn("_y", (~healthy).cast("double")), "z")
-    found = index.non_negative_ridge(z, [f"_z_{c}" for c in columns], "_y")
-    weights = {c: found[f"_z_{c}"] for c in columns}
-    raw = z.withColumn("_raw", sum((F.col(f"_z_{c}") * w for c, w in weights.items()), F.lit(0.0)))
-    low, high = raw.agg(F.min("_raw"), F.max("_raw")).first()
-    middle = _quartiles(raw.filter(healthy).select(group, F.col("_raw").alias("value")), [group]).select(group, F.col("q2").alias("_low"))
-    tops = raw.groupBy(group).agg(F.count("*").alias("_n"), F.max("_raw").alias("_high")).filter(F.col("_n") >= ANCHOR_LEAST).drop("_n")
-    return Index(columns, weights, norms, overall, tables.put(tops.join(middle, group), "anchors"), low, high, group)
+    z = _normed(df, columns, group, norms, overall).select(group, healthy.alias("_healthy"), (~healthy).cast("double").alias("_y"), *[f"_z_{c}" for c in columns])
+    z = tables.put(z, "z")
+    return _Normed(columns, norms, overall, z, *index.gram(z, [f"_z_{c}" for c in columns], "_y"), group, tables)
+
+
+def fit_index(df: DataFrame, columns: list[str], group: str, level: str, order: list[str], signs: bool = True) -> Index:
+    """Non-negative ridge weights of healthy (the first of ``order``) against all other levels.
+
+    Values are normed by their group's healthy median and IQR: those of all groups where a group has fewer than NORM_LEAST
+    healthy rows, and an IQR of NORM_FLOOR of the overall one at least. A group's sign for a feature may turn. Groups with
+    ANCHOR_LEAST rows and a healthy one have a scale of their own: from the healthy rows' median to the largest score.
+    Rows of other levels are an error.
+    """
+    normed = _norms(df, columns, group, level, order, signs)
+    return normed.anchored(normed.weights(columns))
 
 
 def better_index(train: DataFrame, test: DataFrame, columns: list[str], group: str, level: str, order: list[str], trials: int = 3, least_weight: float = 1e-6) -> tuple[Index, list[tuple[int, str, float, bool]]]:
@@ -294,25 +326,32 @@ def better_index(train: DataFrame, test: DataFrame, columns: list[str], group: s
 
     Trial 0 has all columns. Each further one leaves out the columns without weight, or else the one with the smallest; it is
     accepted only if it separates the test rows strictly better than the best so far, and the search ends with the first that
-    doesn't, after ``trials`` trials, or with one column.
+    doesn't, after ``trials`` trials, or with one column. All trials share the norms and the normed rows, which are made once;
+    a trial is a fit of weights and one AUC, and only the accepted index gets its scales.
     """
-    area = lambda m: inference.mann_whitney(m.score(test), [], "raw", F.col(level) != order[0]).first()["auc"] or 0.0
-    best = fit_index(train, columns, group, level, order)
+    normed = _norms(train, columns, group, level, order, True)
+    tested = _normed(test, columns, group, normed.norms, normed.overall).select((F.col(level) != order[0]).alias("_bad"), *[f"_z_{c}" for c in columns])
+    tested = normed.tables.put(tested, "tested")
+
+    def area(weights: dict[str, float]) -> float:
+        return inference.mann_whitney(tested.select("_bad", _raw(weights).alias("raw")), [], "raw", F.col("_bad")).first()["auc"] or 0.0
+
+    best = normed.weights(columns)
     top = area(best)
     told = [(0, "", top, True)]
     for trial in range(1, trials + 1):
-        empty = [c for c, w in best.weights.items() if w <= least_weight]
-        out = empty if empty and len(empty) < len(best.columns) else [min(best.weights, key=lambda c: (best.weights[c], c))]
-        kept = [c for c in best.columns if c not in out]
+        empty = [c for c, w in best.items() if w <= least_weight]
+        out = empty if empty and len(empty) < len(best) else [min(best, key=lambda c: (best[c], c))]
+        kept = [c for c in best if c not in out]
         if not kept:
             break
-        model = fit_index(train, kept, group, level, order)
-        auc = area(model)
+        weights = normed.weights(kept)
+        auc = area(weights)
         told.append((trial, ",".join(out), auc, auc > top))
         if auc <= top:
             break
-        best, top = model, auc
-    return best, told
+        best, top = weights, auc
+    return normed.anchored(best), told
 
 
 # Searches.
