@@ -27,8 +27,8 @@ class Tables:
         self.spark = spark
         self.at = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.at}/{name}")
+    def put(self, df: DataFrame, name: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+        df.write.partitionBy(*by).parquet(f"{self.at}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
     def drop(self, name: str) -> None:
